@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedupe, terms
+from . import dedupe, encoding, terms
 
 
 def _tables(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf}/{n}.parquet") for n in names]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    lexemes, forms = _tables(spark, sf, "lexemes", "forms")
+    return encoding.garbled_records(lexemes, forms)
+
+
+def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
+    lexemes, forms = _tables(spark, sf, "lexemes", "forms")
+    return encoding.garbled_texts(lexemes, forms).select("field", "lexeme_no", "form_no", "text", "restored", "swap")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     (lexemes,) = _tables(spark, sf, "lexemes")
     return dedupe.formatting_copies(lexemes)
@@ -31,7 +41,7 @@ def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_frequencies(lexemes, forms).select("field", "term", "occurrences", "records", "mark")
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_terms": p3_terms}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_terms": p3_terms}
 
 _CLEAN = r"replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{M}}\p{{Nd}}]', '', 'g'), 'ς', 'σ')"
 _COPIES = f"""
