@@ -78,15 +78,16 @@ _MARK = -7.0
 
 
 @lru_cache(None)
-def page(name: str) -> tuple[dict[str, int], list[str | None]]:
-    """Bytes from 128 of a single-byte page by character, and characters by byte; undefined bytes stand for C1 controls."""
-    chars: list[str | None] = [chr(i) for i in range(128)]
+def page(name: str) -> tuple[dict[str, int], list[str]]:
+    """Bytes from 128 of a single-byte page by character, and characters by byte; an undefined byte stands for the
+    character of its number."""
+    chars: list[str] = [chr(i) for i in range(128)]
     for b in range(128, 256):
         try:
             chars.append(bytes([b]).decode(name))
         except UnicodeDecodeError:
-            chars.append(chr(b) if b < 160 else None)
-    return {c: b for b, c in enumerate(chars) if c is not None and b > 127}, chars
+            chars.append(chr(b))
+    return {c: b for b, c in enumerate(chars) if b > 127}, chars
 
 
 @lru_cache(None)
@@ -95,7 +96,7 @@ def utf8_units(wrong: str) -> re.Pattern:
     _, chars = page(wrong)
 
     def group(low: int, high: int) -> str:
-        found = {c for b in range(low, high + 1) for c in (chars[b], chr(b) if b < 160 else None) if c}
+        found = {c for b in range(low, high + 1) for c in (chars[b], chr(b) if b < 160 else chars[b])}
         return "[" + "".join(map(re.escape, sorted(found))) + "]"
 
     tail = group(0x80, 0xBF)
@@ -520,12 +521,15 @@ def judged(texts: DataFrame) -> DataFrame:
     return judged_with(texts, languages)
 
 
-def judged_with(texts: DataFrame, languages: dict[str, Language]) -> DataFrame:
+def judged_with(texts: DataFrame, languages: dict[str, Language], all_suspects: bool = False) -> DataFrame:
+    """As judged, by languages learned elsewhere; with all_suspects, every text is judged and returned."""
     starred = texts.filter("lang = '*'")
     named = texts.filter("lang is null or lang != '*'")
     words = {k: languages[k] for k in ("el", "he", "aaa") if k in languages}
     found = suspects(named, languages)
-    if words:
+    if all_suspects:
+        found = texts
+    elif words:
         every = sorted({c for m in words.values() for c in m.letters})
         found = found.unionByName(suspects(starred, {"*": Language(every, np.zeros((1, 1)), np.zeros((1, 1)))}))
     looked = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields) + ", source array<string>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedupe, encoding, terms
+from . import dedupe, encoding, lookalikes, terms
 
 
 def _tables(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
@@ -41,7 +41,22 @@ def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_frequencies(lexemes, forms).select("field", "term", "occurrences", "records", "mark")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_terms": p3_terms}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    lexemes, forms = _tables(spark, sf, "lexemes", "forms")
+    return lookalikes.lookalike_records(lexemes, forms)
+
+
+def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
+    lexemes, forms = _tables(spark, sf, "lexemes", "forms")
+    return lookalikes.consistent_values(lexemes, forms).select("field", "lexeme_no", "form_no", "form")
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    lexemes, forms = _tables(spark, sf, "lexemes", "forms")
+    return lookalikes.lookalike_groups(lexemes, forms)
+
+
+QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_terms": p3_terms}
 
 _CLEAN = r"replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{M}}\p{{Nd}}]', '', 'g'), 'ς', 'σ')"
 _COPIES = f"""
