@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedupe, encoding, lookalikes, terms
+from ..session import durable
+from . import dedupe, encoding, lookalikes, mixing, packing, terms
 
 
 def _tables(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
@@ -56,7 +57,22 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.lookalike_groups(lexemes, forms)
 
 
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_terms": p3_terms}
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    (documents,) = _tables(spark, sf, "documents")
+    return packing.pack_documents(documents)
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    documents, targets = _tables(spark, sf, "documents", "mix_targets")
+    return mixing.mix_documents(documents, targets)
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    documents, targets = _tables(spark, sf, "documents", "mix_targets")
+    return mixing.mix_shares(durable(mixing.mix_documents(documents, targets)), targets)
+
+
+QUERIES = {"p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_terms": p3_terms}
 
 _CLEAN = r"replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{M}}\p{{Nd}}]', '', 'g'), 'ς', 'σ')"
 _COPIES = f"""
