@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable
-from . import dedupe, encoding, lookalikes, mixing, packing, terms
+from . import dedupe, encoding, lookalikes, mixing, packing, spam, terms
 
 
 def _tables(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
@@ -72,7 +72,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_shares(durable(mixing.mix_documents(documents, targets)), targets)
 
 
-QUERIES = {"p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_terms": p3_terms}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    (documents,) = _tables(spark, sf, "documents")
+    return spam.spam_posts(documents)
+
+
+QUERIES = {"p8_found": p8_found, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_terms": p3_terms}
 
 _CLEAN = r"replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{M}}\p{{Nd}}]', '', 'g'), 'ς', 'σ')"
 _COPIES = f"""
