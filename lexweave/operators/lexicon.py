@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glosses as G
 from ..functions import greek
+from ..session import durable
 from . import index
 
 MIN_UID = 100_000
@@ -80,7 +81,8 @@ def assign_uids(rows: DataFrame, order: list[str], used: DataFrame, least: int =
     """
     good = F.coalesce(F.col("uid") >= least, F.lit(False))
     top = used.agg(F.coalesce(F.max("uid"), F.lit(least - 1)).alias("_top"))
-    lacking = rows.filter(~good).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    # Written once: the partition of a row must be the same wherever it is used.
+    lacking = durable(rows.filter(~good).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = lacking.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = F.broadcast(sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
