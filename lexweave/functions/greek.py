@@ -137,10 +137,12 @@ def keywords(word: Column | str) -> Column:
     """Array of (tier, keyword): 1 the accented key, 2 the unaccented key if it differs, 3 the prefixes of both from 2
     characters to one less than the word, at most MAX_PREFIX, without stopwords. Empty and overlong words give null."""
     word = F.col(word) if isinstance(word, str) else word
-    return F.when(F.octet_length(word).between(1, MAX_WORD_BYTES), _keywords(accented(word), unaccented(word), F.length(word)))
+    return F.when(F.octet_length(word).between(1, MAX_WORD_BYTES), keyword_entries(accented(word), unaccented(word)))
 
 
-def _keywords(a: Column, u: Column, n: Column) -> Column:
+def keyword_entries(a: Column, u: Column) -> Column:
+    """The keywords of a word by its two keys, which have as many characters as the word."""
+    n = F.length(a)
     entry = lambda tier, k: F.struct(F.lit(tier).alias("tier"), k.alias("keyword"))
     longest = F.least(n - 1, F.lit(MAX_PREFIX))
     lengths = F.when(longest >= 2, F.sequence(F.lit(2), longest)).otherwise(F.array().cast("array<int>"))

@@ -8,6 +8,7 @@ all items share, don't gather in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,25 +22,28 @@ EXACT, UNACCENTED, PARTIAL = 1, 2, 3
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """ids: columns that identify an item; text: the column that is indexed; order: sort columns of a posting list, which
-    may use the columns keyword and tier; carry: columns of the item that order or the caller needs."""
+    """ids: columns that identify an item; text: the column that is indexed; order: gives the sort columns of a posting
+    list, which may use the columns keyword and tier; carry: columns of the item that order or the caller needs."""
 
     ids: tuple[str, ...]
     text: str
-    order: tuple[Column, ...] = ()
+    order: Callable[[], tuple[Column, ...]] = tuple
     carry: tuple[str, ...] = field(default=())
 
 
 def postings(items: DataFrame, spec: IndexSpec) -> DataFrame:
     """(keyword, tier, ids..., carry...): a row for each keyword of each item; equal items count each."""
     kept = list(dict.fromkeys((*spec.ids, *spec.carry)))
-    exploded = items.select(*kept, F.explode(greek.keywords(F.col(spec.text))).alias("_k"))
+    # In two steps, so that the folds are evaluated once.
+    usable = items.filter(F.octet_length(spec.text).between(1, greek.MAX_WORD_BYTES))
+    folded = usable.select(*kept, greek.accented(F.col(spec.text)).alias("_a"), greek.unaccented(F.col(spec.text)).alias("_u"))
+    exploded = folded.select(*kept, F.explode(greek.keyword_entries(F.col("_a"), F.col("_u"))).alias("_k"))
     return exploded.select("_k.keyword", "_k.tier", *kept)
 
 
 def ranked(posting_rows: DataFrame, spec: IndexSpec, limit: int | None = None) -> DataFrame:
     """Adds rank within keyword and tier; with a limit, only the first of each list."""
-    order = [*spec.order, *(F.col(c).asc() for c in spec.ids)]
+    order = [*spec.order(), *(F.col(c).asc() for c in spec.ids)]
     out = posting_rows.withColumn("rank", F.row_number().over(Window.partitionBy("keyword", "tier").orderBy(*order)))
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
@@ -75,7 +79,12 @@ def form_order() -> tuple[Column, ...]:
     )
 
 
+def lexeme_order() -> tuple[Column, ...]:
+    """Collation order, then fewer glosses first."""
+    return F.col("sort_key").asc(), F.col("word").asc(), F.col("n_glosses").asc()
+
+
 FORM_CARRY = ("uid", "word", "n_refs", "n_glosses", "preferred", "lexeme_word", "sort_key")
-FORM_SPEC = IndexSpec(("lexeme_no", "form_no"), "word", form_order(), FORM_CARRY)
-LEXEME_SPEC = IndexSpec(("lexeme_no",), "word", (F.col("sort_key").asc(), F.col("word").asc(), F.col("n_glosses").asc()), ("word", "sort_key", "n_glosses"))
-GLOSS_SPEC = IndexSpec(("lexeme_no", "form_no"), "token", form_order(), FORM_CARRY)
+FORM_SPEC = IndexSpec(("lexeme_no", "form_no"), "word", form_order, FORM_CARRY)
+LEXEME_SPEC = IndexSpec(("lexeme_no",), "word", lexeme_order, ("word", "sort_key", "n_glosses"))
+GLOSS_SPEC = IndexSpec(("lexeme_no", "form_no"), "token", form_order, FORM_CARRY)

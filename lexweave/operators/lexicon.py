@@ -74,21 +74,23 @@ def transliterations(forms: DataFrame) -> DataFrame:
     return forms.select("lexeme_no", "form_no", greek.transliterated("word").alias("token")).filter("token != ''")
 
 
-def assign_uids(rows: DataFrame, order: list[str], used: DataFrame, least: int = MIN_UID) -> DataFrame:
-    """rows with uid_new: their uid, or for a missing one or one below least a number above all used ones.
-
-    Numbers follow the order; they are dealt by partitions of the range-sorted rows, not by one task.
-    """
-    good = F.coalesce(F.col("uid") >= least, F.lit(False))
-    top = used.agg(F.coalesce(F.max("uid"), F.lit(least - 1)).alias("_top"))
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with _no from 1 in the given order, dealt by partitions of the range-sorted rows, not by one task."""
     # Written once: the partition of a row must be the same wherever it is used.
-    lacking = durable(rows.filter(~good).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = lacking.groupBy("_p").agg(F.count("*").alias("_n"))
+    dealt = durable(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = F.broadcast(sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    dealt = lacking.join(starts, "_p").join(F.broadcast(top)).withColumn("uid_new", (F.greatest("_top", F.lit(least - 1)) + F.col("_start") + inside).cast("long"))
-    return rows.filter(good).withColumn("uid_new", F.col("uid").cast("long")).unionByName(dealt.drop("_p", "_start", "_top"))
+    return dealt.join(starts, "_p").withColumn("_no", F.col("_start") + inside).drop("_p", "_start")
+
+
+def assign_uids(rows: DataFrame, order: list[str], used: DataFrame, least: int = MIN_UID) -> DataFrame:
+    """rows with uid_new: their uid, or for a missing one or one below least a number above all used ones, by order."""
+    good = F.coalesce(F.col("uid") >= least, F.lit(False))
+    top = used.agg(F.greatest(F.max("uid"), F.lit(least - 1)).cast("long").alias("_top"))
+    fresh = numbered(rows.filter(~good), order).join(F.broadcast(top)).withColumn("uid_new", F.col("_top") + F.col("_no"))
+    return rows.filter(good).withColumn("uid_new", F.col("uid").cast("long")).unionByName(fresh.drop("_top", "_no"))
 
 
 def glossed(lexemes: DataFrame) -> DataFrame:

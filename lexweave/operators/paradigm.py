@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import morphology as M
@@ -16,22 +16,22 @@ def form_by_parsing(forms: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted rows with form_no, the chosen form.
 
     Of a lexeme's forms with the parsing only the first run in order counts. In it a preferred form wins, else one with
-    glosses over one without, else the one with fewer references; a later one must be strictly better.
+    glosses over one without, else the one with fewer references; a later one must be strictly better. So the choice
+    starts at the last preferred form (or the first), and of that and the later ones, those with glosses if there are
+    any, the first with the fewest references stands at the end. That takes minima and maxima only, which combine before
+    the shuffle: a lexeme may have any number of forms.
     """
-    keys = wanted.select("lexeme_no", "parsing").distinct()
-    order = Window.partitionBy("lexeme_no").orderBy("form_no")
-    placed = forms.withColumn("_new", (F.lag("parsing").over(order).eqNullSafe(F.col("parsing"))).cast("int"))
-    placed = placed.withColumn("_run", F.sum(1 - F.col("_new")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    hits = placed.join(keys, ["lexeme_no", "parsing"])
-    first = Window.partitionBy("lexeme_no", "parsing")
-    run = hits.withColumn("_first", F.min("_run").over(first)).filter("_run = _first")
-    entry = F.struct("form_no", "preferred", (F.col("n_glosses") > 0).alias("glossed"), "n_refs")
-    runs = run.groupBy("lexeme_no", "parsing").agg(F.array_sort(F.collect_list(entry)).alias("run"))
-    better = lambda found, cur: (
-        cur["preferred"] | (cur["glossed"] & ~found["glossed"]) | ((cur["glossed"] == found["glossed"]) & (found["n_refs"] > cur["n_refs"]))
-    )
-    chosen = F.aggregate(F.slice("run", 2, F.greatest(F.size("run") - 1, F.lit(1))), F.col("run")[0], lambda found, cur: F.when(better(found, cur), cur).otherwise(found))
-    return wanted.join(runs.select("lexeme_no", "parsing", chosen["form_no"].alias("form_no")), ["lexeme_no", "parsing"])
+    at = ["lexeme_no", "parsing"]
+    keys = wanted.select(*at).distinct()
+    hits = forms.select(*at, "form_no", F.coalesce("preferred", F.lit(False)).alias("preferred"), (F.col("n_glosses") > 0).alias("glossed"), "n_refs").join(keys, at)
+    start = hits.groupBy(*at).agg(F.min("form_no").alias("_start"))
+    other = forms.select("lexeme_no", F.col("parsing").alias("_other"), F.col("form_no").alias("_no"))
+    end = other.join(start, "lexeme_no").filter((F.col("_no") > F.col("_start")) & ~F.col("_other").eqNullSafe(F.col("parsing"))).groupBy(*at).agg(F.min("_no").alias("_end"))
+    run = hits.join(end, at, "left").filter(F.col("_end").isNull() | (F.col("form_no") < F.col("_end")))
+    base = run.groupBy(*at).agg(F.coalesce(F.max(F.when(F.col("preferred"), F.col("form_no"))), F.min("form_no")).alias("_base"))
+    best = F.min(F.struct("n_refs", "form_no"))
+    chosen = run.join(base, at).filter("form_no >= _base").groupBy(*at, "glossed").agg(best.alias("best")).groupBy(*at).agg(F.max_by("best.form_no", "glossed").alias("form_no"))
+    return wanted.join(chosen, at)
 
 
 def primary_parsings(spark: SparkSession) -> DataFrame:
