@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .glosses import is_stopword
@@ -130,25 +130,25 @@ def accented(word: Column | str) -> Column:
     return F.when(ends, F.concat(F.substr(out, F.lit(1), F.length(out) - 1), F.lit("ς"))).otherwise(out)
 
 
-KEYWORD = "array<struct<tier:int,keyword:string>>"
+def keyword_rows(df: DataFrame, word: str, exact_only: tuple[str, ...] = ()) -> DataFrame:
+    """df with a row for each (tier, keyword) of its column word, which is dropped: tier 1 the accented key, 2 the
+    unaccented key if it differs, 3 the prefixes of both from 2 characters to one less than the word, at most
+    MAX_PREFIX, without stopwords. Rows with an empty or overlong word drop out. Columns of exact_only are null in tier 3.
 
-
-def keywords(word: Column | str) -> Column:
-    """Array of (tier, keyword): 1 the accented key, 2 the unaccented key if it differs, 3 the prefixes of both from 2
-    characters to one less than the word, at most MAX_PREFIX, without stopwords. Empty and overlong words give null."""
-    word = F.col(word) if isinstance(word, str) else word
-    return F.when(F.octet_length(word).between(1, MAX_WORD_BYTES), keyword_entries(accented(word), unaccented(word)))
-
-
-def keyword_entries(a: Column, u: Column) -> Column:
-    """The keywords of a word by its two keys, which have as many characters as the word."""
-    n = F.length(a)
-    entry = lambda tier, k: F.struct(F.lit(tier).alias("tier"), k.alias("keyword"))
-    longest = F.least(n - 1, F.lit(MAX_PREFIX))
-    lengths = F.when(longest >= 2, F.sequence(F.lit(2), longest)).otherwise(F.array().cast("array<int>"))
-    exact = F.filter(F.array(entry(1, a), F.when(a != u, entry(2, u))), lambda e: e.isNotNull())
-    prefixes = F.flatten(F.transform(lengths, lambda k: F.array_distinct(F.array(F.substr(a, F.lit(1), k), F.substr(u, F.lit(1), k)))))
-    return F.concat(exact, F.transform(F.filter(prefixes, lambda p: ~is_stopword(p)), lambda p: entry(3, p)))
+    A row first becomes one row for each prefix length (length 1 stands for the whole keys), then one for each key: both
+    steps stay in generated code.
+    """
+    kept = [c for c in df.columns if c != word]
+    usable = df.filter(F.octet_length(word).between(1, MAX_WORD_BYTES))
+    folded = usable.select(*kept, accented(word).alias("_a"), unaccented(word).alias("_u"))
+    lengths = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_a") - 1, F.lit(MAX_PREFIX))))
+    long = folded.select(*kept, "_a", "_u", F.explode(lengths).alias("_k"))
+    whole = F.col("_k") == 1
+    cut = long.select(*kept, whole.alias("_whole"), F.when(whole, F.col("_a")).otherwise(F.substr("_a", F.lit(1), F.col("_k"))).alias("_a"), F.when(whole, F.col("_u")).otherwise(F.substr("_u", F.lit(1), F.col("_k"))).alias("_u"))
+    entry = lambda tier, key: F.struct(F.when(F.col("_whole"), tier).otherwise(3).alias("tier"), F.col(key).alias("keyword"))
+    keys = F.explode(F.array(entry(1, "_a"), F.when(F.col("_a") != F.col("_u"), entry(2, "_u"))))
+    rows = cut.select(*kept, keys.alias("_e")).filter(F.col("_e").isNotNull() & ((F.col("_e.tier") < 3) | ~is_stopword(F.col("_e.keyword"))))
+    return rows.select("_e.keyword", "_e.tier", *[F.when(F.col("_e.tier") < 3, F.col(c)).alias(c) if c in exact_only else F.col(c) for c in kept])
 
 
 # Letters and what they are in Latin script.

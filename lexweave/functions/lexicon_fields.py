@@ -90,20 +90,23 @@ def gloss_list(text: Column) -> Column:
     return F.when(text != "", glosses)
 
 
+_REFERENCE = r"^(?:([^#]*)#)?([0-9]*[^0-9#,.|\t\n]*?) ?([0-9]+):([0-9]+)(?: ([0-9]+))?.*\z"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def reference(text: Column) -> Column:
-    """'module#Book c:v w' to a struct, null if it isn't one; module may be missing."""
-    pattern = F.lit(r"^(?:([^#]*)#)?([0-9]*[^0-9#,.|\t\n]*?) ?([0-9]+):([0-9]+)(?: ([0-9]+))?")
-    part = lambda i: F.regexp_extract(text, r"^(?:([^#]*)#)?([0-9]*[^0-9#,.|\t\n]*?) ?([0-9]+):([0-9]+)(?: ([0-9]+))?", i)
-    return F.when(
-        F.regexp_like(text, pattern),
-        F.struct(
-            F.when(part(1) != "", part(1)).alias("module"),
-            part(2).alias("book"),
-            u16(part(3)).alias("chapter"),
-            u16(part(4)).alias("verse"),
-            F.when(part(5) != "", u16(part(5))).otherwise(0).alias("word"),
-        ),
+    """'module#Book c:v w' to a struct, null if it isn't one; module may be missing, text after it is ignored."""
+    parts = F.when(F.regexp_like(text, F.lit(_REFERENCE)), F.split(F.regexp_replace(text, _REFERENCE, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001"))
+    given = lambda c: F.when(c != "", c)
+    made = lambda p: F.when(
+        p.isNotNull(),
+        F.struct(given(p[0]).alias("module"), p[1].alias("book"), u16(p[2]).alias("chapter"), u16(p[3]).alias("verse"), F.coalesce(u16(given(p[4])), F.lit(0)).alias("word")),
     )
+    return let(parts, made)
 
 
 def reference_list(text: Column) -> Column:

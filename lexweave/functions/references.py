@@ -106,11 +106,14 @@ def module_name(code: Column) -> Column:
 def parse_reference(text: Column | str) -> Column:
     """'1 John 2:4' (or 'byz#1 John 2:4 7') to codes (module, book, chapter, verse, word); null if it is no reference."""
     text = F.col(text) if isinstance(text, str) else text
-    read = fields.reference(text)
-    book = book_code(read["book"])
-    number = lambda c: F.coalesce(read[c], F.lit(0)).alias(c)
-    out = F.struct(F.when(read["module"].isNotNull(), module_code(read["module"])).otherwise(0).alias("module"), book.alias("book"), number("chapter"), number("verse"), number("word"))
-    return F.when(read.isNotNull() & (book > 0) & read["chapter"].isNotNull() & read["verse"].isNotNull(), out)
+
+    def coded(read: Column) -> Column:
+        number = lambda c: F.coalesce(read[c], F.lit(0)).alias(c)
+        module = F.when(read["module"].isNotNull(), module_code(read["module"])).otherwise(0)
+        return F.struct(module.alias("module"), book_code(read["book"]).alias("book"), number("chapter"), number("verse"), number("word"), (read["chapter"].isNotNull() & read["verse"].isNotNull()).alias("_ok"))
+
+    fields_ = ("module", "book", "chapter", "verse", "word")
+    return fields.let(fields.let(fields.reference(text), coded), lambda c: F.when(c["_ok"] & (c["book"] > 0), F.struct(*[c[f].alias(f) for f in fields_])))
 
 
 def reference_text(ref: Column) -> Column:

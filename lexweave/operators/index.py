@@ -23,22 +23,20 @@ EXACT, UNACCENTED, PARTIAL = 1, 2, 3
 @dataclass(frozen=True)
 class IndexSpec:
     """ids: columns that identify an item; text: the column that is indexed; order: gives the sort columns of a posting
-    list, which may use the columns keyword and tier; carry: columns of the item that order or the caller needs."""
+    list, which may use the columns keyword and tier; carry: columns of the item that order or the caller needs; exact_only: those of
+    them that only exact tiers need, null in the far more numerous partial postings."""
 
     ids: tuple[str, ...]
     text: str
     order: Callable[[], tuple[Column, ...]] = tuple
     carry: tuple[str, ...] = field(default=())
+    exact_only: tuple[str, ...] = field(default=())
 
 
 def postings(items: DataFrame, spec: IndexSpec) -> DataFrame:
     """(keyword, tier, ids..., carry...): a row for each keyword of each item; equal items count each."""
     kept = list(dict.fromkeys((*spec.ids, *spec.carry)))
-    # In two steps, so that the folds are evaluated once.
-    usable = items.filter(F.octet_length(spec.text).between(1, greek.MAX_WORD_BYTES))
-    folded = usable.select(*kept, greek.accented(F.col(spec.text)).alias("_a"), greek.unaccented(F.col(spec.text)).alias("_u"))
-    exploded = folded.select(*kept, F.explode(greek.keyword_entries(F.col("_a"), F.col("_u"))).alias("_k"))
-    return exploded.select("_k.keyword", "_k.tier", *kept)
+    return greek.keyword_rows(items.select(*kept, F.col(spec.text).alias("_text")), "_text", spec.exact_only)
 
 
 def ranked(posting_rows: DataFrame, spec: IndexSpec, limit: int | None = None) -> DataFrame:
@@ -62,21 +60,20 @@ def lookup(queries: DataFrame, query: str, posting_rows: DataFrame) -> DataFrame
     return hit.join(posting_rows, "keyword")
 
 
-def form_order() -> tuple[Column, ...]:
-    """Order of forms: shorter words first, then more references; glosses, preference and collation only decide where
-    both have none of what comes before. Expects word, n_refs, n_glosses, preferred, lexeme_word and sort_key."""
+def form_rank_columns(forms: DataFrame) -> DataFrame:
+    """Adds the columns that order forms. Of forms with references most are null, which keeps postings narrow."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    sized = forms.withColumns({"word_bytes": F.octet_length("word"), "n_refs": size("refs"), "n_glosses": size("glosses"), "preferred": F.coalesce("preferred", F.lit(False))})
     bare = F.col("n_refs") == 0
     barest = bare & (F.col("n_glosses") == 0)
-    return (
-        F.octet_length("word").asc(),
-        F.when(F.col("tier") != PARTIAL, F.coalesce(F.col("lexeme_word") == F.col("keyword"), F.lit(False))).desc(),
-        F.col("n_refs").desc(),
-        F.when(bare, F.col("n_glosses")).desc(),
-        F.when(barest, F.col("preferred")).desc(),
-        F.when(barest, F.col("sort_key")).asc(),
-        F.when(barest, F.col("word")).asc(),
-        F.col("uid").asc_nulls_last(),
-    )
+    return sized.withColumns({"bare_glosses": F.when(bare, F.col("n_glosses")), "barest_preferred": F.when(barest, F.col("preferred")), "barest_key": F.when(barest, greek.sort_key("word")), "barest_word": F.when(barest, F.col("word"))})
+
+
+def form_order() -> tuple[Column, ...]:
+    """Order of forms: shorter words first, in exact tiers those whose lexeme is the keyword, then more references;
+    glosses, preference and collation only decide where both have none of what comes before."""
+    match = F.when(F.col("tier") != PARTIAL, F.coalesce(F.col("lexeme_word") == F.col("keyword"), F.lit(False)))
+    return F.col("word_bytes").asc(), match.desc(), F.col("n_refs").desc(), F.col("bare_glosses").desc(), F.col("barest_preferred").desc(), F.col("barest_key").asc(), F.col("barest_word").asc(), F.col("uid").asc_nulls_last()
 
 
 def lexeme_order() -> tuple[Column, ...]:
@@ -84,7 +81,7 @@ def lexeme_order() -> tuple[Column, ...]:
     return F.col("sort_key").asc(), F.col("word").asc(), F.col("n_glosses").asc()
 
 
-FORM_CARRY = ("uid", "word", "n_refs", "n_glosses", "preferred", "lexeme_word", "sort_key")
-FORM_SPEC = IndexSpec(("lexeme_no", "form_no"), "word", form_order, FORM_CARRY)
+FORM_CARRY = ("uid", "word_bytes", "n_refs", "bare_glosses", "barest_preferred", "barest_key", "barest_word", "lexeme_word")
+FORM_SPEC = IndexSpec(("lexeme_no", "form_no"), "word", form_order, FORM_CARRY, ("lexeme_word",))
 LEXEME_SPEC = IndexSpec(("lexeme_no",), "word", lexeme_order, ("word", "sort_key", "n_glosses"))
-GLOSS_SPEC = IndexSpec(("lexeme_no", "form_no"), "token", form_order, FORM_CARRY)
+GLOSS_SPEC = IndexSpec(("lexeme_no", "form_no"), "token", form_order, FORM_CARRY, ("lexeme_word",))

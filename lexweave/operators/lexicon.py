@@ -34,11 +34,6 @@ def with_lexeme(forms: DataFrame, lexemes: DataFrame) -> DataFrame:
     return forms.join(own, "lexeme_no", "left")
 
 
-def rank_columns(forms: DataFrame) -> DataFrame:
-    zero = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    return forms.withColumns({"n_refs": zero("refs"), "n_glosses": zero("glosses"), "preferred": F.coalesce("preferred", F.lit(False)), "sort_key": greek.sort_key("word")})
-
-
 def effective_entries(lang: str) -> Column:
     """Entries of the form's first gloss in lang, else of its lexeme's."""
     return F.coalesce(G.entries_of("glosses", lang), G.entries_of("lexeme_glosses", lang))
@@ -111,7 +106,14 @@ class Lexicon:
 
     @cached_property
     def forms(self) -> DataFrame:
-        return rank_columns(with_lexeme(forms_of(self.forms_all, self.lexemes), self.lexemes))
+        return index.form_rank_columns(with_lexeme(forms_of(self.forms_all, self.lexemes), self.lexemes))
+
+    def written(self) -> Lexicon:
+        """The same lexicon with its lexemes and forms written once, for work that uses them several times."""
+        out = Lexicon(self.lexemes_all, self.forms_all)
+        out.__dict__["lexemes"] = durable(self.lexemes)
+        out.__dict__["forms"] = durable(index.form_rank_columns(with_lexeme(forms_of(self.forms_all, out.lexemes), out.lexemes)))
+        return out
 
     @cached_property
     def by_form(self) -> DataFrame:

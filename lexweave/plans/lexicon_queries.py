@@ -37,8 +37,7 @@ def transliterate(spark, sf):
 
 
 def prefix_keywords(spark, sf):
-    spread = _words(spark, sf).select(F.explode(greek.keywords("word")).alias("k")).select("k.*")
-    return spread.groupBy("tier", "keyword").agg(F.count("*").alias("n"))
+    return greek.keyword_rows(_words(spark, sf), "word").groupBy("tier", "keyword").agg(F.count("*").alias("n"))
 
 
 def collation_rank(spark, sf):
@@ -71,7 +70,7 @@ def postings_lexeme_top60(spark, sf):
 
 
 def postings_gloss_top60(spark, sf):
-    return index.ranked(_lexicon(spark, sf).by_gloss, index.GLOSS_SPEC, index.MAX_RESULTS).select("keyword", "tier", "rank", "lexeme_no", "form_no")
+    return index.ranked(_lexicon(spark, sf).written().by_gloss, index.GLOSS_SPEC, index.MAX_RESULTS).select("keyword", "tier", "rank", "lexeme_no", "form_no")
 
 
 def posting_fanout(spark, sf):
@@ -79,7 +78,7 @@ def posting_fanout(spark, sf):
 
 
 def gloss_index_tokens(spark, sf):
-    return L.gloss_tokens(_lexicon(spark, sf).forms).groupBy("lexeme_no", "form_no", "token").agg(F.count("*").alias("n"))
+    return L.gloss_tokens(_lexicon(spark, sf).written().forms).groupBy("lexeme_no", "form_no", "token").agg(F.count("*").alias("n"))
 
 
 def lookup_with_fallback(spark, sf):
@@ -206,17 +205,17 @@ def farmhash64(spark, sf):
 
 
 def primary_form(spark, sf):
-    lex = _lexicon(spark, sf)
+    lex = _lexicon(spark, sf).written()
     return paradigm.primary_form(lex.lexemes, lex.forms)
 
 
 def panel_cells(spark, sf):
-    lex = _lexicon(spark, sf)
+    lex = _lexicon(spark, sf).written()
     return paradigm.panel_cells(lex.lexemes, lex.forms).select("lexeme_no", "kind", "panel_no", "side", "slot", "form_no", "word")
 
 
 def panel_tables(spark, sf):
-    lex = _lexicon(spark, sf)
+    lex = _lexicon(spark, sf).written()
     tables = paradigm.panels(lex.lexemes, lex.forms)
     flat = lambda c: F.array_join(c, ",", "-").alias(c)
     return tables.select("lexeme_no", "kind", "panel_no", "title", "subtitle", flat("top"), flat("bottom"))

@@ -15,7 +15,7 @@ def write_tables(lexicon: Lexicon, path: str, limit: int | None = index.MAX_RESU
     """Tables under path. Posting lists are ranked, cut to limit and laid out by keyword, so that a lookup reads few row
     groups."""
     lexicon.lexemes.write.mode("overwrite").parquet(f"{path}/lexemes")
-    lexicon.forms.drop("lexeme_word", "lexeme_glosses", "n_refs", "n_glosses", "sort_key").write.mode("overwrite").parquet(f"{path}/forms")
+    lexicon.forms.select(*lexicon.forms_all.columns).write.mode("overwrite").parquet(f"{path}/forms")
     specs = {"by_form": index.FORM_SPEC, "by_lexeme": index.LEXEME_SPEC, "by_gloss": index.GLOSS_SPEC, "by_transliteration": index.GLOSS_SPEC}
     for name, spec in specs.items():
         rows = index.ranked(getattr(lexicon, name), spec, limit).select("keyword", "tier", "rank", *spec.ids)
