@@ -14,23 +14,24 @@
 
 Posts without own text, or with less than LEAST_TERMS terms and LEAST_LINKS links, are no spam. A null text has no
 terms; a null or untrue language is replaced by the one whose model fits best. Rows with a null doc_id can't be named
-and are left out; repeated rows of a post are one post with their terms together, which changes neither curve nor share.
+and are left out; repeated rows are judged one by one, and a post is spam if any of its rows is.
 
 Scale: the models are broadcast; a language has at most (mean number of different terms in a post) / COMMON terms, and a
-language below RARE_LANGUAGE of the posts has no model, so their size doesn't grow with the posts. Terms are shuffled
-once, by post, as hashes with counts; a post's terms all come from one row, so no key is hot.
+language below RARE_LANGUAGE of the posts has no model, so their size doesn't grow with the posts. Only frequencies are
+shuffled by post, not terms; they all come from one row, so no key is hot.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable, ship
+from ..session import durable, ship, spread
 
 COMMON = 0.005
 FUNCTION = 0.12
@@ -45,7 +46,6 @@ VARIED = 0.9
 DIVERGENCE = 1.0
 EXTREME = 6.0
 LINK, TAG, NUMBER = "\u0001", "\u0002", "\u0003"
-_SPECIAL = (LINK, TAG, NUMBER)
 
 _URL = r"(?:https?://|www\.)[^\s<>\[\]()\"']+"
 # Innermost quotations; possessive, so that long ones need no stack.
@@ -66,13 +66,18 @@ _TERM = rf"{_URL}|#[\p{{L}}\p{{N}}_]++|\p{{N}}[\p{{N}}.,]*+|\p{{L}}[\p{{L}}\p{{M
 
 def own_text(text: Column) -> Column:
     """Text without quotations, lines that introduce them, and signatures."""
-    out = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
+    start = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
+    out = start
     for _ in range(_NESTED):
         for pattern in _QUOTES:
             out = F.regexp_replace(out, pattern, "\n")
     out = F.regexp_replace(out, r"(?i)\[/?quote\b[^\]]*+\]|</?blockquote\b[^>]*+>", "\n")
+    # Most posts have no quotation in brackets.
+    out = F.when(F.regexp_like(start, F.lit(r"(?i)\[/?quote\b|</?blockquote\b")), out).otherwise(start)
     out = F.regexp_replace(out, r"(?m)^[ \t]*+(?:>|&gt;)[^\n]*+$", "")
-    out = F.regexp_replace(out, r"(?im)^[^\n]{1,80}\b(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*+:?[ \t]*+$", "")
+    # Lines that introduce a quotation; the whole pattern only where a line ends so at all.
+    ends = r"(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*+:?[ \t]*+"
+    out = F.when(F.regexp_like(out, F.lit(rf"(?m){ends}$")), F.regexp_replace(out, rf"(?m)^[^\n]{{1,80}}\b{ends}$", "")).otherwise(out)
     for pattern in _SIGNATURES:
         out = F.regexp_replace(out, pattern, "\n")
     return out
@@ -91,111 +96,108 @@ def term_of(raw: Column) -> Column:
 
 
 def prose_models(posts: DataFrame) -> DataFrame:
-    """posts (lang, terms) to (lang, term, share), the prose models."""
+    """posts (lang, raw) to (lang, term, share), the prose models. Links, hashtags and numbers have no share."""
     named = posts.filter("lang is not null")
     sizes = named.groupBy("lang").agg(F.count("*").alias("posts"))
     whole = sizes.agg(F.sum("posts").alias("all_posts"))
     sizes = sizes.join(F.broadcast(whole)).filter(F.col("posts") >= F.col("all_posts") * RARE_LANGUAGE)
-    seen = named.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    # explode_outer: the plain form would make the terms a second time, to drop posts without any.
+    seen = named.select("lang", F.explode_outer(F.array_distinct("raw")).alias("term")).filter(F.col("term").isNotNull() & (term_of(F.col("term")) == F.col("term")))
+    seen = seen.groupBy("lang", "term").agg(F.count("*").alias("n"))
     shares = seen.join(F.broadcast(sizes), "lang").select("lang", "term", (F.col("n") / F.col("posts")).alias("share"))
-    return shares.filter((F.col("share") >= COMMON) & ~F.col("term").isin(*_SPECIAL))
+    return shares.filter(F.col("share") >= COMMON)
 
 
-def _density(shared):
-    """Adds function_share and sparse_share (by characters) in the language with most function words, links and terms."""
+def _pages(shared):
+    """Per post: its terms' frequencies, nearness to prose in the best language, and, in the language with most function
+    words, their share and the share (by characters) of what lies where they are sparse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words: dict[str, frozenset] = shared.value
-        half = NEAR // 2
+        models: dict[str, dict[str, float]]
+        models, words = shared.value
+        half, floor = NEAR // 2, math.log(COMMON / 2)
+        names = ["row", "doc_id", "n", "freqs", "nearness", "best_lang", "function_share", "sparse_share", "links"]
         for batch in batches:
-            function, sparse, links, sizes = [], [], [], []
-            for raw in batch.column("raw").to_pylist():
+            out: dict[str, list] = {k: [] for k in names[2:]}
+            rows = []
+            for at, raw in enumerate(batch.column("raw").to_pylist()):
                 n = len(raw or ())
-                is_link = [r.startswith(("http://", "https://", "www.")) for r in raw or ()]
-                links.append(sum(is_link))
-                sizes.append(n)
                 if not n:
-                    function.append(1.0)
-                    sparse.append(0.0)
                     continue
-                best = max(([r in own for r in raw] for own in words.values()), key=sum, default=[False] * n)
-                flags = np.array(best, float)
+                rows.append(at)
+                links = [r.startswith(("http://", "https://", "www.")) for r in raw]
+                terms = [LINK if k else TAG if r[0] == "#" else NUMBER if r[0].isnumeric() else r for r, k in zip(raw, links)]
+                counts = Counter(terms)
+                near, lang = max((sum(f * model.get(t, floor) for t, f in counts.items()) / n, k) for k, model in models.items())
+                flags = max(([r in own for r in raw] for own in words.values()), key=sum)
                 sums = np.concatenate([[0.0], np.cumsum(flags)])
-                at = np.arange(n)
-                low, high = np.maximum(0, at - half), np.minimum(n, at + half + 1)
-                near = (sums[high] - sums[low]) / (high - low)
+                place = np.arange(n)
+                low, high = np.maximum(0, place - half), np.minimum(n, place + half + 1)
                 weight = np.array([len(r) for r in raw], float)
-                function.append(float(flags.mean()))
                 # A link is never prose itself, whatever stands beside it.
-                sparse.append(float(weight[(near < SPARSE) | np.array(is_link)].sum() / weight.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(function, pa.float64()), pa.array(sparse, pa.float64()), pa.array(links, pa.int32()), pa.array(sizes, pa.int32())],
-                ["doc_id", "function_share", "sparse_share", "links", "n_terms"],
-            )
+                sparse = ((sums[high] - sums[low]) / (high - low) < SPARSE) | np.array(links)
+                for k, v in (("n", n), ("freqs", list(counts.values())), ("nearness", near), ("best_lang", lang), ("function_share", sums[-1] / n), ("sparse_share", weight[sparse].sum() / weight.sum()), ("links", sum(links))):
+                    out[k].append(v)
+            kept = pa.array(rows, pa.int64())
+            types = [pa.int64(), pa.list_(pa.int32()), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(kept), batch.column("doc_id").take(kept), *(pa.array(v, t) for v, t in zip(out.values(), types))], names)
 
     return run
 
 
-def rank_frequency(posts: DataFrame, models: DataFrame, langs: list[str]) -> DataFrame:
-    """posts (doc_id, terms) to (doc_id, n, types, slope, residual, nearness, best_lang)."""
-    counts = posts.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
-    by_term = models.groupBy("term").pivot("lang", langs).agg(F.first(F.log("share")))
-    scored = counts.join(F.broadcast(by_term), "term", "left")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("f"), "term"))
+_PAGE = "row long, doc_id long, n long, freqs array<int>, nearness double, best_lang string, function_share double, sparse_share double, links int"
+
+
+def rank_frequency(pages: DataFrame) -> DataFrame:
+    """pages (row, freqs) to (row, types, slope, residual): log frequency fitted on log rank."""
+    single = pages.select("row", F.explode("freqs").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("f")))
     x, y = F.log(F.col("r")), F.log(F.col("f"))
-    floor = math.log(COMMON / 2)
-    near = [(F.sum(F.col("f") * F.coalesce(F.col(f"`{k}`"), F.lit(floor))) / F.sum("f")).alias(f"near_{i}") for i, k in enumerate(langs)]
-    fitted = (
-        scored.withColumn("r", rank)
-        .groupBy("doc_id")
-        .agg(F.sum("f").alias("n"), F.count("*").alias("types"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.coalesce(F.regr_r2(y, x), F.lit(1.0)).alias("r2"), *near)
-    )
-    best = F.greatest(*[F.struct(F.col(f"near_{i}").alias("near"), F.lit(k).alias("lang")) for i, k in enumerate(langs)]) if len(langs) > 1 else F.struct(F.col("near_0").alias("near"), F.lit(langs[0]).alias("lang"))
+    fitted = single.withColumn("r", rank).groupBy("row").agg(F.count("*").alias("types"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.coalesce(F.regr_r2(y, x), F.lit(1.0)).alias("r2"))
     residual = F.sqrt(F.greatest(F.lit(0.0), F.coalesce("syy", F.lit(0.0)) * (1 - F.col("r2"))) / F.col("types"))
-    return fitted.select("doc_id", "n", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"), residual.alias("residual"), best["near"].alias("nearness"), best["lang"].alias("best_lang"))
+    return fitted.select("row", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"), residual.alias("residual"))
 
 
 def page_scores(documents: DataFrame) -> DataFrame:
     """(doc_id, n, types, slope, residual, nearness, best_lang, divergence, slope_far, residual_far, function_share,
-    sparse_share, links, n_terms, spam) of each post with terms."""
+    sparse_share, links, spam) of each row with terms."""
     spark = documents.sparkSession
-    raw = documents.filter("doc_id is not null and text is not null").select("doc_id", "lang", raw_terms(F.col("text")).alias("raw"))
-    posts = raw.select("doc_id", "lang", F.transform("raw", term_of).alias("terms"))
-    models = durable(prose_models(posts))
-    model_rows = models.collect()  # bounded, see above
+    raw = spread(documents).filter("doc_id is not null and text is not null").select("doc_id", "lang", raw_terms(F.col("text")).alias("raw"))
+    model_rows = prose_models(raw).collect()  # bounded, see above
     langs = sorted({r.lang for r in model_rows})
     if not langs:
         return spark.createDataFrame([], _SCORES)
+    models = {k: {r.term: math.log(r.share) for r in model_rows if r.lang == k} for k in langs}
     words = {k: frozenset(r.term for r in model_rows if r.lang == k and r.share >= FUNCTION) for k in langs}
-    curves = durable(rank_frequency(posts, models, langs).withColumn("size", F.floor(F.log2("n"))))
+    # Written once; rows keep their numbers.
+    pages = durable(raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", "raw").mapInArrow(_pages(ship(spark, (models, words))), _PAGE))
+    curves = pages.drop("freqs").join(rank_frequency(pages), "row").withColumn("size", F.floor(F.log2("n")))
+    curves = durable(curves)
     # Prose of the language and length: medians over all its posts, of which spam is the smaller part.
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
     prose = curves.groupBy("best_lang", "size").agg(middle("nearness").alias("m_near"), middle("slope").alias("m_slope"), middle("residual").alias("m_residual"))
-    prose = F.broadcast(prose)  # languages with a model times the powers of two of a text's length
-    off = curves.join(prose, ["best_lang", "size"])
-    spread = off.groupBy("best_lang", "size").agg(middle(F.abs(F.col("slope") - F.col("m_slope"))).alias("d_slope"), middle(F.abs(F.col("residual") - F.col("m_residual"))).alias("d_residual"))
-    far = off.join(F.broadcast(spread), ["best_lang", "size"]).select(
+    off = curves.join(F.broadcast(prose), ["best_lang", "size"])  # languages with a model times the powers of two of a length
+    deviation = off.groupBy("best_lang", "size").agg(middle(F.abs(F.col("slope") - F.col("m_slope"))).alias("d_slope"), middle(F.abs(F.col("residual") - F.col("m_residual"))).alias("d_residual"))
+    far = off.join(F.broadcast(deviation), ["best_lang", "size"]).select(
         "doc_id", "n", "types", "slope", "residual", "nearness", "best_lang",
         # A language may lack prose of a length; then what is usual for most texts counts.
         (F.greatest(F.col("m_near"), F.lit(_USUAL)) - F.col("nearness")).alias("divergence"),
         (F.abs(F.col("slope") - F.col("m_slope")) / F.greatest(F.col("d_slope"), F.lit(0.05))).alias("slope_far"),
         (F.abs(F.col("residual") - F.col("m_residual")) / F.greatest(F.col("d_residual"), F.lit(0.02))).alias("residual_far"),
-    )
-    dense = raw.select("doc_id", "raw").mapInArrow(_density(ship(spark, words)), "doc_id long, function_share double, sparse_share double, links int, n_terms int")
-    dense = dense.groupBy("doc_id").agg(F.min("function_share").alias("function_share"), F.max("sparse_share").alias("sparse_share"), F.max("links").alias("links"), F.max("n_terms").alias("n_terms"))
+        "function_share", "sparse_share", "links",
+    )
     candidate = (F.col("divergence") > DIVERGENCE) | (F.col("slope_far") > EXTREME) | (F.col("residual_far") > EXTREME)
-    enough = (F.col("n_terms") >= LEAST_TERMS) | (F.col("links") >= LEAST_LINKS)
+    enough = (F.col("n") >= LEAST_TERMS) | (F.col("links") >= LEAST_LINKS)
     repeated = (F.col("function_share") < FEW) & (F.col("types") < F.col("n") * VARIED)
-    mass = (F.col("sparse_share") > 0.5) | repeated
-    return far.join(dense, "doc_id").withColumn("spam", candidate & enough & mass)
+    return far.withColumn("spam", candidate & enough & ((F.col("sparse_share") > 0.5) | repeated))
 
 
 _USUAL = -2.2
-_SCORES = "doc_id long, n long, types long, slope double, residual double, nearness double, best_lang string, divergence double, slope_far double, residual_far double, function_share double, sparse_share double, links int, n_terms int, spam boolean"
+_SCORES = "doc_id long, n long, types long, slope double, residual double, nearness double, best_lang string, divergence double, slope_far double, residual_far double, function_share double, sparse_share double, links int, spam boolean"
 
 
 def spam_posts(documents: DataFrame) -> DataFrame:
     """(doc_id) of the posts that are spam."""
-    return page_scores(documents).filter("spam").select("doc_id")
+    return page_scores(documents).filter("spam").select("doc_id").distinct()
