@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, ship
+from ..session import durable, ship, spread
 
 #: Letters of an alphabet that take part in the bigrams, the most frequent ones.
 LETTERS = 600
@@ -557,7 +557,7 @@ def dictionary_texts(lexemes: DataFrame, forms: DataFrame) -> DataFrame:
 
 def garbled_texts(lexemes: DataFrame, forms: DataFrame) -> DataFrame:
     """(field, lexeme_no, form_no, lang, text, restored, swap) of the garbled words of forms and gloss entries."""
-    return judged(dictionary_texts(lexemes, forms)).filter("garbled and field != 'lexeme_word'").drop("garbled", "gain")
+    return judged(dictionary_texts(spread(lexemes.select("lexeme_no", "lang", "word", "glosses")), spread(forms.select("lexeme_no", "form_no", "word", "glosses")))).filter("garbled and field != 'lexeme_word'").drop("garbled", "gain")
 
 
 def garbled_records(lexemes: DataFrame, forms: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, spread
 from .tokens import TOKENIZER, token_counts
 
 BLOCK_TOKENS = 2048
@@ -123,7 +123,7 @@ def mix_documents(documents: DataFrame, targets: DataFrame, seed: int = 1, total
         raise ValueError(f"more than {MAX_SOURCES} sources")
     wanted = [(r.source, r.target_share, r.max_repeats) for r in rows]
     used = documents.select("doc_id", "source", "text").filter(F.col("source").isin([w[0] for w in wanted] or [""]) & (F.col("text") != ""))
-    counted = used.mapInArrow(_count(tokenizer), "doc_id long, source string, n_tokens long")
+    counted = spread(used).mapInArrow(_count(tokenizer), "doc_id long, source string, n_tokens long")
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     # Narrow rows, written once: tokens are counted a single time.
     posts = durable(counted.select("*", key.alias("key"), F.pmod(F.xxhash64(key), F.lit(SHARDS)).alias("fine")))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .tokens import TOKENIZER, token_counts
 
 CAPACITY = 2048
@@ -99,4 +100,4 @@ def _pack(capacity: int, path: str):
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, container) of each post or piece of documents (doc_id, text)."""
-    return documents.select("doc_id", "text").mapInArrow(_pack(capacity, tokenizer), _SCHEMA)
+    return spread(documents.select("doc_id", "text")).mapInArrow(_pack(capacity, tokenizer), _SCHEMA)
