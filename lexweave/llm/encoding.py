@@ -45,7 +45,7 @@ LETTERS = 600
 #: Of a language's letters, the share that makes a letter ordinary.
 ORDINARY = 1e-4
 #: Weight of the starting key, in occurrences of a unit.
-PRIOR = 3.0
+PRIOR = 10.0
 ROUNDS = 8
 #: By how much (natural log) the translation has to be likelier.
 MARGIN = 1.4
@@ -56,6 +56,8 @@ LATIN = ("en", "es", "aaa", "de", "fr")
 _LATIN_LETTERS = r"a-z\x{DF}-\x{F6}\x{F8}-\x{17F}\x{1E00}-\x{1EFF}"
 PUNCTUATION = "’‘“”–—…«»"
 _WIDE = ("zh", "ko")
+#: Marks a unit as a plain letter.
+PLAIN = "\x00"
 
 # Code pages by what they are used for. The right page of a text is one of its language's, the wrong one
 # any of WRONG.
@@ -225,6 +227,12 @@ class Language:
             c in self.index or "\x20" <= c < "\x7f" or c in PUNCTUATION or self.wide and ("\u3400" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3") for c in text.lower()
         )
 
+    def gains_letters(self, text: str, plain: str) -> bool:
+        """Whether plain has letters of the language, and none of text became a sign."""
+        if len(text) == len(plain) and any(a in self.index and b not in self.index for a, b in zip(text.lower(), plain.lower())):
+            return False
+        return self.latin or self.wide or any(c in self.index for c in plain.lower())
+
     @property
     def wide(self) -> bool:
         return "\u3400" <= self.letters[0] <= "\u9fff" or "\uac00" <= self.letters[0] <= "\ud7a3"
@@ -404,7 +412,7 @@ class Reader:
         for lang, model in models:
             seen = set()
             for path, plain, made in self.translations(text, lang):
-                if (plain, len(path)) in seen or not model.knows(made):
+                if (plain, len(path)) in seen or not model.knows(made) or path[0].right != "utf-8" and not model.gains_letters(text, plain):
                     continue
                 seen.add((plain, len(path)))
                 gain = model.score(plain) - stored - 1.5 * len(path) - (0.5 if path[0].right != "utf-8" else 0)
@@ -436,7 +444,8 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, right, wrong), text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
             last = ""
             for unit, cipher in [*Swap(right, wrong).units(text), ("", True)]:
-                unit = unit if cipher else ""
+                # Letters that the swap leaves alone are the context of the others.
+                unit = unit if cipher else PLAIN + unit.lower() if unit.isalpha() else ""
                 if last or unit:
                     counts[lang, right, wrong, last, unit] += 1
                 last = unit
@@ -459,6 +468,10 @@ def decipher(pairs: list[tuple[str, str, int]], swap: Swap, model: Language, rou
     start[0, 0] = 1
     first: dict[str, str] = {}
     for u in units:
+        if u[0] == PLAIN:
+            start[at[u]] = 0
+            start[at[u], model.index.get(u[1:], 0)] = 1
+            continue
         letter = swap.start(u)
         first[u] = letter or ""
         if letter and (i := model.index.get(letter.lower())):
@@ -477,6 +490,8 @@ def decipher(pairs: list[tuple[str, str, int]], swap: Swap, model: Language, rou
         emit = weight / np.maximum(weight.sum(0, keepdims=True), 1e-12)
     key = {}
     for u in units:
+        if u[0] == PLAIN:
+            continue
         i = int(weight[at[u]].argmax())
         known = first[u] and model.index.get(first[u].lower())
         if i and not (first[u] and not known):  # a unit that starts as a sign or unknown letter keeps it
