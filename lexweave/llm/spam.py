@@ -36,14 +36,14 @@ from ..session import durable, ship, spread
 COMMON = 0.005
 FUNCTION = 0.12
 RARE_LANGUAGE = 0.01
-LEAST_TERMS = 8
+LEAST_TERMS = 5
 LEAST_LINKS = 3
 NEAR = 9
 SPARSE = 0.2
 FEW = 0.4
 VARIED = 0.9
 #: Nearness to prose, in natural log, by which a post is a candidate; distances (in median deviations) for the others.
-DIVERGENCE = 1.0
+DIVERGENCE = 0.8
 EXTREME = 6.0
 LINK, TAG, NUMBER = "\u0001", "\u0002", "\u0003"
 
