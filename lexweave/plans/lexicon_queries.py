@@ -12,6 +12,7 @@ from ..functions import morphology as M
 from ..functions import references as R
 from ..operators import index, paradigm
 from ..operators import lexicon as L
+from ..sources import text
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,6 +46,33 @@ def collation_rank(spark, sf):
     return L.numbered(keyed, ["sort_key", "word"]).select("word", F.col("_no").alias("rank"))
 
 
+def form_collation_rank(spark, sf):
+    """All forms in the order of the dictionary: collation, preferred first, more glosses first."""
+    forms = _read(spark, sf, "forms").filter("word is not null and word != ''")
+    keyed = forms.select("lexeme_no", "form_no", "word", greek.sort_key("word").alias("sort_key"), F.when(F.coalesce("preferred", F.lit(False)), 0).otherwise(1).alias("rest"), (-F.greatest(F.coalesce(F.size("glosses"), F.lit(0)), F.lit(0))).alias("fewer"))
+    return L.numbered(keyed, ["sort_key", "word", "rest", "fewer", "lexeme_no", "form_no"]).select("lexeme_no", "form_no", F.col("_no").alias("rank"))
+
+
+def part_name_index(spark, sf):
+    """An index of other items in another order: parts by name, dearest first."""
+    spec = index.IndexSpec(("p_partkey",), "p_name", lambda: (F.col("p_retailprice").desc(),), ("p_retailprice",))
+    return index.ranked(index.postings(_read(spark, sf, "part"), spec), spec, 5).select("keyword", "tier", "rank", "p_partkey")
+
+
+def autocomplete(spark, sf):
+    """The ten best forms that begin like the words of lexemes with a number divisible by 100."""
+    lex = _lexicon(spark, sf)
+    asked = lex.lexemes.filter("lexeme_no % 100 = 0").select(F.substr("word", F.lit(1), F.lit(3)).alias("query")).distinct()
+    hits = index.lookup(asked, "query", lex.by_form).filter(F.col("tier") == index.PARTIAL).drop("query").distinct()
+    return index.ranked(hits, index.FORM_SPEC, 10).select("keyword", "rank", "lexeme_no", "form_no")
+
+
+def text_export(spark, sf):
+    """The dictionary as lines of the text format."""
+    lex = _lexicon(spark, sf).written()
+    return text.text_lines(lex.lexemes, lex.forms)
+
+
 def gloss_token_counts(spark, sf):
     rows = _read(spark, sf, "lexemes").select(F.explode("glosses").alias("g")).select("g.lang", F.explode("g.entries").alias("entry"))
     tokens = rows.select("lang", "entry", F.explode(G.tokens("entry")).alias("token")).filter(G.keep_gloss_token(F.col("token"), F.col("entry")))
@@ -224,7 +252,7 @@ def panel_tables(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        word_keys, transliterate, prefix_keywords, collation_rank, gloss_token_counts, stopword_ratio, betacode_words, postings_top60, postings_lexeme_top60, postings_gloss_top60,
+        word_keys, transliterate, prefix_keywords, collation_rank, form_collation_rank, part_name_index, autocomplete, text_export, gloss_token_counts, stopword_ratio, betacode_words, postings_top60, postings_lexeme_top60, postings_gloss_top60,
         posting_fanout, gloss_index_tokens, lookup_with_fallback, first_wins_dedupe, assign_uids, gloss_fallback, gloss_string, gloss_text, has_tag, glossed_lexemes, parse_byzantine,
         format_byzantine, unpack_parsing, pack_parsing, parse_cntr, parse_morphgnt, parse_ccat, parse_reference, concordance, modules, books, articles, parts_of_speech, farmhash64,
         primary_form, panel_cells, panel_tables,

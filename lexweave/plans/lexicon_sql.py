@@ -139,6 +139,17 @@ SQL = {
     "transliterate": f"with {_WORDS} select word, {_transliterated('word', False)} as plain, {_transliterated('word', True)} as marked from words",
     "prefix_keywords": f"with {_WORDS}, {_keyed('words', 'word')} select tier, keyword, count(*) as n from posting group by tier, keyword".replace("select word, word, ", "select word, "),
     "collation_rank": f"with {_WORDS} select word, row_number() over (order by {_SORT}, word) as rank from words",
+    "form_collation_rank": f"""select lexeme_no, form_no, row_number() over (order by {_SORT}, word, case when coalesce(preferred, false) then 0 else 1 end,
+  -coalesce(len(glosses), 0), lexeme_no, form_no) as rank from forms where word is not null and word <> ''""",
+    "part_name_index": f"""with src as (select p_name as word, p_partkey, p_retailprice from part), {_keyed("src", "p_partkey, p_retailprice")}
+select keyword, tier, rank, p_partkey from (select *, row_number() over (partition by keyword, tier order by p_retailprice desc, p_partkey) as rank from posting) where rank <= 5""",
+    "autocomplete": f"""with {_LEXICON}, {_FORM_SOURCE}, {_keyed("src", _FORM_COLS)},
+ask as (select distinct left(word, 3) as word from lex where lexeme_no % 100 = 0),
+key as (select {_accented("word")} as a, {_UNACCENTED} as u from ask where strlen(word) between 1 and 499),
+known as (select distinct keyword from posting),
+hit as (select distinct coalesce(ka.keyword, ku.keyword) as keyword from key left join known ka on a = ka.keyword left join known ku on u = ku.keyword),
+found as (select distinct p.* from posting p join hit using (keyword) where tier = 3)
+select keyword, rank, lexeme_no, form_no from (select *, {_FORM_RANK} as rank from found) where rank <= 10""",
     "gloss_token_counts": f"""select lang, token, count(*) as n from (
   select lang, entry, unnest({_SPLIT.format("entry")}) as token from (select g.lang, unnest(g.entries) as entry from (select unnest(glosses) as g from lexemes)))
 where token <> '' and (strlen(token) = strlen(entry) or not {_STOP.format("token")}) group by lang, token""",

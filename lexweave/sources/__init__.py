@@ -1 +1,21 @@
+"""Sources and sinks of lexicons."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from ..operators.lexicon import Lexicon
+
+
+def load_lexicon(spark: SparkSession, path: str, mode: str = "FAILFAST") -> Lexicon:
+    """A lexicon of a local binary file, of Parquet tables, or else of text files; told apart by what is there."""
+    import os
+
+    from . import binary, text
+
+    local = path.removeprefix("file://")
+    if os.path.isfile(local) and binary.is_binary(local):
+        return Lexicon(binary.read_binary(spark, local, "lexemes"), binary.read_binary(spark, local, "forms"))
+    if os.path.isdir(os.path.join(local, "lexemes")):
+        return Lexicon(spark.read.parquet(f"{path}/lexemes"), spark.read.parquet(f"{path}/forms"))
+    return Lexicon(*text.read_lexicon(spark, path, mode))
