@@ -100,14 +100,15 @@ def plan(sums: list[tuple[str, int, int]], targets: list[tuple[str, float, int]]
     size = most if total is None else min(most, total)
     blocks = max(1, size // block)
     shards = max(1, min(SHARDS, sum(tokens[s] for s, _, _ in live) // (SHARD_BLOCKS * block * len(live))))
-    by_shard: dict[tuple[str, int], int] = {}
+    by_shard: dict[str, dict[int, int]] = {}
     for source, fine, n in sums:
-        by_shard[source, fine % shards] = by_shard.get((source, fine % shards), 0) + n
+        own = by_shard.setdefault(source, {})
+        own[fine % shards] = own.get(fine % shards, 0) + n
     out = []
     # As many blocks as a source can fill; its last one may be short.
     caps = [-(-r * tokens[s] // block) for s, _, r in live]
     for (source, _, repeats), quota in zip(live, sainte_lague([share for _, share, _ in live], blocks, caps)):
-        own = sorted((h, n) for (s, h), n in by_shard.items() if s == source and n)
+        own = sorted((h, n) for h, n in by_shard[source].items() if n)
         dealt = sainte_lague([n for _, n in own], quota, [-(-repeats * n // block) for _, n in own])
         for (shard, n), q in zip(own, dealt):
             want = min(q * block, repeats * n)
