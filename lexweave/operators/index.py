@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import greek
+from ..session import durable
 
 MAX_RESULTS = 60
 EXACT, UNACCENTED, PARTIAL = 1, 2, 3
@@ -53,11 +54,13 @@ def lookup(queries: DataFrame, query: str, posting_rows: DataFrame) -> DataFrame
     """
     asked = queries.filter(F.octet_length(query).between(1, greek.MAX_WORD_BYTES)).select("*", greek.accented(F.col(query)).alias("_a"), greek.unaccented(F.col(query)).alias("_u"))
     keys = asked.select(F.explode(F.array("_a", "_u")).alias("keyword")).distinct()
-    found = posting_rows.join(keys, "keyword", "left_semi").select("keyword").distinct()
+    # Only the postings that are asked for, written once: they are probed, then joined.
+    asked_for = durable(posting_rows.join(keys, "keyword", "left_semi"))
+    found = asked_for.select("keyword").distinct()
     a, u = found.select(F.col("keyword").alias("_ka")), found.select(F.col("keyword").alias("_ku"))
     probed = asked.join(a, F.col("_a") == F.col("_ka"), "left").join(u, F.col("_u") == F.col("_ku"), "left")
     hit = probed.select(*queries.columns, F.coalesce("_ka", "_ku").alias("keyword")).filter("keyword is not null")
-    return hit.join(posting_rows, "keyword")
+    return hit.join(asked_for, "keyword")
 
 
 def form_rank_columns(forms: DataFrame) -> DataFrame:
