@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon_fields as fields
 from ..sources import lines as L
 
 
@@ -51,7 +52,29 @@ checked as (
   from counted c left join parsing_tags t on c.is_form and upper(c.f[2]) = t.tag where not bad_count)
 """
 
+
+
+def _cases(column: str, table: dict) -> str:
+    text = lambda v: str(v) if isinstance(v, int) else "'" + v + "'"
+    return f"case {column} " + " ".join(f"when {text(k)} then {text(v)}" for k, v in table.items()) + " end"
+
+
+_POS = {name: code for code, name in enumerate(fields.PARTS_OF_SPEECH)}
+_POS |= {"definitearticle": 10, "interrogativepronoun": 12 | fields.INTERROGATIVE, "indefinitepronoun": 12 | fields.INDEFINITE, "interrogativeparticle": 1 | fields.INTERROGATIVE, "indeclinablepropernoun": 7 | fields.INDECLINABLE}
+_LANG_LIST = "[" + ", ".join(f"'{k}'" for k in fields.LANGS) + "]"
+
 SQL = {
+    "p4_lexemes": _FIELDS
+    + rf"""
+select line_id, f[1] as word, {_cases("lower(f[2])", fields.LANGS)} as lang,
+  case when regexp_full_match(f[3], '[0-9]+') and try_cast(f[3] as int) between 0 and 16777215 then try_cast(f[3] as int) end as uid,
+  coalesce(case when strlen(f[4]) <= 40 and lower(f[4]) <> 'comparativeadjective' then {_cases("regexp_replace(lower(f[4]), '([a-z])[ _-]([a-z])', '" + chr(92) + "1" + chr(92) + "2', 'g')", _POS)} end, 0)::int as pos,
+  {_cases("f[5]", fields.ARTICLES)}::int as article,
+  array_to_string(list_transform(list_filter(regexp_split_to_array(f[7], '[, ]+'), lambda p: p <> ''), lambda p: p::int), ',') as strongs,
+  nullif(f[8], '') as root,
+  case when f[9] <> '' then len(list_filter(string_split(f[9], '#'), lambda g: list_has_any(string_split(lower(g), ':'), {_LANG_LIST})))::int end as n_glosses,
+  array_to_string(list_filter(regexp_split_to_array(f[11], '[" ,\n\r\t]+'), lambda t: t <> '')[1:10], ',') as tags, nullif(f[12], '') as note
+from checked where not is_form and not (bad_word or bad_tag or bad_strongs)""",
     "p4_found": _FIELDS
     + """
 select line_id, 'quoting' as reason from quoted where bad_quote
