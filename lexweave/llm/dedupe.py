@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
+#: Parts of every group in the narrow join on hashes.
 SALT = 16
+#: Rows of a part, and parts of a group at most, in the join that carries texts.
+PART, PARTS = 5000, 1024
 _END = 0xE01F0
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -181,22 +184,25 @@ def formatting_copies(lexemes: DataFrame, bits: int = 64) -> DataFrame:
     """(first_no, copy_no): for each record that isn't the first of its copies, the smallest lexeme_no among them."""
     base = lexemes.select("lexeme_no", "lang", "word", "root", "glosses").filter("lexeme_no is not null")
     keys = durable(base.mapInArrow(hash_records(bits), "lexeme_no long, h1 long, h2 long"))
-    groups = keys.groupBy("h1", "h2").agg(F.min("lexeme_no").alias("first_no"), F.max("lexeme_no").alias("last_no")).filter("first_no < last_no").drop("last_no")
+    groups = keys.groupBy("h1", "h2").agg(F.min("lexeme_no").alias("first_no"), F.max("lexeme_no").alias("last_no"), F.count("*").alias("n")).filter("first_no < last_no")
+    # Groups come in as many parts as their size asks for; most are of one.
+    groups = groups.select("h1", "h2", "first_no", F.least(F.lit(PARTS), F.floor(F.col("n") / PART) + 1).alias("parts"))
     salted = keys.withColumn("salt", F.pmod(F.xxhash64("lexeme_no"), F.lit(SALT)))
     spread = groups.withColumn("salt", _all_salts())
-    pairs = salted.join(spread, ["h1", "h2", "salt"]).filter("lexeme_no != first_no").select("first_no", F.col("lexeme_no").alias("copy_no")).distinct()
+    pairs = salted.join(spread, ["h1", "h2", "salt"]).filter("lexeme_no != first_no").select("first_no", F.col("lexeme_no").alias("copy_no"), "parts").distinct()
 
     whole = F.struct("lang", "word", "root", "glosses")
-    firsts = base.join(groups.select(F.col("first_no").alias("lexeme_no")), "lexeme_no", "left_semi").select(F.col("lexeme_no").alias("first_no"), whole.alias("first"))
-    firsts = firsts.dropDuplicates(["first_no"]).withColumn("salt", _all_salts())
-    copies = base.select(F.col("lexeme_no").alias("copy_no"), whole.alias("copy")).join(pairs, "copy_no").withColumn("salt", F.pmod(F.xxhash64("copy_no"), F.lit(SALT)))
+    heads = groups.groupBy(F.col("first_no").alias("lexeme_no")).agg(F.max("parts").alias("parts"))
+    firsts = base.join(heads, "lexeme_no").select(F.col("lexeme_no").alias("first_no"), whole.alias("first"), "parts")
+    firsts = firsts.dropDuplicates(["first_no"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    copies = base.select(F.col("lexeme_no").alias("copy_no"), whole.alias("copy")).join(pairs, "copy_no").withColumn("salt", F.pmod(F.xxhash64("copy_no"), F.col("parts")))
     checked = copies.join(firsts, ["first_no", "salt"]).select("first_no", "copy_no", "first", "copy").mapInArrow(_verify, "first_no long, copy_no long, same boolean")
     checked = durable(checked.groupBy("copy_no").agg(F.min("first_no").alias("first_no"), F.bool_and("same").alias("same")))
 
     failed = base.join(checked.filter("not same").select(F.col("copy_no").alias("lexeme_no")), "lexeme_no", "left_semi")
     contents = failed.mapInArrow(_contents, "lexeme_no long, content string")
-    heads = contents.groupBy("content").agg(F.min("lexeme_no").alias("first_no"))
-    again = contents.join(heads, "content").filter("lexeme_no != first_no").select("first_no", F.col("lexeme_no").alias("copy_no"))
+    again_first = contents.groupBy("content").agg(F.min("lexeme_no").alias("first_no"))
+    again = contents.join(again_first, "content").filter("lexeme_no != first_no").select("first_no", F.col("lexeme_no").alias("copy_no"))
     return checked.filter("same").select("first_no", "copy_no").unionAll(again)
 
 
