@@ -2,11 +2,13 @@
 
 1. A post's own text is what remains without quotations and signature. Its terms are words in lower case, and one
    common term each for links, hashtags and numbers.
-2. A language's prose model holds the share of its posts in which a term occurs, for terms of at least COMMON of them.
-   Each post counts a term once, so that repetition doesn't make a keyword common.
+2. A language's prose model holds the share of its texts in which a term occurs, for terms of at least COMMON of them.
+   Each text counts a term once, and posts of the same words are one text, so that neither repetition nor copies make a
+   keyword common.
 3. Per post, SQL windows rank its terms by frequency; log frequency is fitted on log rank (slope, residual), and the
    mean log share of its terms under the best language's model is its nearness to prose. Posts are held against prose
-   of their language and length (power of two): divergence, slope and residual become distances from the median.
+   of their language and length (power of two): divergence, slope and residual become distances from the median over
+   different texts.
 4. Posts with an extreme divergence, slope or residual are candidates. Of these, a post is spam if most of it, by
    characters, lies where no function words are near (windows of NEAR terms) or if it repeats terms and has few function
    words, which tells masses of keywords from
@@ -17,12 +19,14 @@ terms; a null or untrue language is replaced by the one whose model fits best. R
 and are left out; repeated rows are judged one by one, and a post is spam if any of its rows is.
 
 Scale: the models are broadcast; a language has at most (mean number of different terms in a post) / COMMON terms, and a
-language below RARE_LANGUAGE of the posts has no model, so their size doesn't grow with the posts. Only frequencies are
-shuffled by post, not terms; they all come from one row, so no key is hot.
+language below RARE_LANGUAGE of the texts has no model, so their size doesn't grow with the posts. Texts are shuffled
+once, as their different words, and copies are combined before; else only frequencies are shuffled by post, which all
+come from one row, so no key is hot.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -63,6 +67,9 @@ _SIGNATURES = (
 )
 _TERM = rf"{_URL}|#[\p{{L}}\p{{N}}_]++|\p{{N}}[\p{{N}}.,]*+|\p{{L}}[\p{{L}}\p{{M}}]*+(?:['’][\p{{L}}\p{{M}}]++)*+"
 
+# What of these is a word: links hold a dot or colon, the others start with no letter.
+_WORD = r"^\p{L}[^.:]*+\z"
+
 
 def own_text(text: Column) -> Column:
     """Text without quotations, lines that introduce them, and signatures."""
@@ -91,20 +98,19 @@ def raw_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(out), F.lit(_TERM), F.lit(0))
 
 
-def term_of(raw: Column) -> Column:
-    return F.when(F.regexp_like(raw, F.lit("^(?:https?://|www\\.)")), LINK).when(F.startswith(raw, F.lit("#")), TAG).when(F.regexp_like(raw, F.lit(r"^\p{N}")), NUMBER).otherwise(raw)
-
-
 def prose_models(posts: DataFrame) -> DataFrame:
-    """posts (lang, raw) to (lang, term, share), the prose models. Links, hashtags and numbers have no share."""
-    named = posts.filter("lang is not null")
-    sizes = named.groupBy("lang").agg(F.count("*").alias("posts"))
-    whole = sizes.agg(F.sum("posts").alias("all_posts"))
-    sizes = sizes.join(F.broadcast(whole)).filter(F.col("posts") >= F.col("all_posts") * RARE_LANGUAGE)
-    # explode_outer: the plain form would make the terms a second time, to drop posts without any.
-    seen = named.select("lang", F.explode_outer(F.array_distinct("raw")).alias("term")).filter(F.col("term").isNotNull() & (term_of(F.col("term")) == F.col("term")))
-    seen = seen.groupBy("lang", "term").agg(F.count("*").alias("n"))
-    shares = seen.join(F.broadcast(sizes), "lang").select("lang", "term", (F.col("n") / F.col("posts")).alias("share"))
+    """posts (lang, raw) to (lang, term, share), the prose models. Links, hashtags and numbers have no share.
+
+    Posts of the same words are one text here, so that copies don't make their keywords common, however many they are.
+    """
+    words = F.array_distinct(F.filter("raw", lambda r: F.regexp_like(r, F.lit(_WORD))))
+    texts = posts.filter("lang is not null").select("lang", words.alias("words")).groupBy("lang", "words").agg(F.lit(1).alias("one"))
+    # An empty term counts the texts themselves. explode_outer: the plain form would make the terms a second time, to drop texts without any.
+    counted = durable(texts.select("lang", F.explode_outer(F.array_append("words", F.lit(""))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")))
+    sizes = counted.filter("term = ''").select("lang", F.col("n").alias("texts"))
+    whole = sizes.agg(F.sum("texts").alias("all_texts"))
+    sizes = sizes.join(F.broadcast(whole)).filter(F.col("texts") >= F.col("all_texts") * RARE_LANGUAGE)
+    shares = counted.filter("term != ''").join(F.broadcast(sizes), "lang").select("lang", "term", (F.col("n") / F.col("texts")).alias("share"))
     return shares.filter(F.col("share") >= COMMON)
 
 
@@ -118,7 +124,7 @@ def _pages(shared):
         models: dict[str, dict[str, float]]
         models, words = shared.value
         half, floor = NEAR // 2, math.log(COMMON / 2)
-        names = ["row", "doc_id", "n", "freqs", "nearness", "best_lang", "function_share", "sparse_share", "links"]
+        names = ["row", "doc_id", "n", "freqs", "nearness", "best_lang", "function_share", "sparse_share", "links", "same"]
         for batch in batches:
             out: dict[str, list] = {k: [] for k in names[2:]}
             rows = []
@@ -138,16 +144,16 @@ def _pages(shared):
                 weight = np.array([len(r) for r in raw], float)
                 # A link is never prose itself, whatever stands beside it.
                 sparse = ((sums[high] - sums[low]) / (high - low) < SPARSE) | np.array(links)
-                for k, v in (("n", n), ("freqs", list(counts.values())), ("nearness", near), ("best_lang", lang), ("function_share", sums[-1] / n), ("sparse_share", weight[sparse].sum() / weight.sum()), ("links", sum(links))):
+                for k, v in (("n", n), ("freqs", list(counts.values())), ("nearness", near), ("best_lang", lang), ("function_share", sums[-1] / n), ("sparse_share", weight[sparse].sum() / weight.sum()), ("links", sum(links)), ("same", hashlib.blake2b("\n".join(terms).encode("utf-8", "surrogatepass"), digest_size=16).digest())):
                     out[k].append(v)
             kept = pa.array(rows, pa.int64())
-            types = [pa.int64(), pa.list_(pa.int32()), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+            types = [pa.int64(), pa.list_(pa.int32()), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("row").take(kept), batch.column("doc_id").take(kept), *(pa.array(v, t) for v, t in zip(out.values(), types))], names)
 
     return run
 
 
-_PAGE = "row long, doc_id long, n long, freqs array<int>, nearness double, best_lang string, function_share double, sparse_share double, links int"
+_PAGE = "row long, doc_id long, n long, freqs array<int>, nearness double, best_lang string, function_share double, sparse_share double, links int, same binary"
 
 
 def rank_frequency(pages: DataFrame) -> DataFrame:
@@ -175,11 +181,14 @@ def page_scores(documents: DataFrame) -> DataFrame:
     pages = durable(raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", "raw").mapInArrow(_pages(ship(spark, (models, words))), _PAGE))
     curves = pages.drop("freqs").join(rank_frequency(pages), "row").withColumn("size", F.floor(F.log2("n")))
     curves = durable(curves)
-    # Prose of the language and length: medians over all its posts, of which spam is the smaller part.
+    # Prose of the language and length: medians over all its different texts, of which spam is the smaller part.
+    text = ["best_lang", "size", "same"]
+    texts = durable(curves.groupBy(*text).agg(*[F.min(c).alias(c) for c in ("nearness", "slope", "residual")]))
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    prose = curves.groupBy("best_lang", "size").agg(middle("nearness").alias("m_near"), middle("slope").alias("m_slope"), middle("residual").alias("m_residual"))
-    off = curves.join(F.broadcast(prose), ["best_lang", "size"])  # languages with a model times the powers of two of a length
-    deviation = off.groupBy("best_lang", "size").agg(middle(F.abs(F.col("slope") - F.col("m_slope"))).alias("d_slope"), middle(F.abs(F.col("residual") - F.col("m_residual"))).alias("d_residual"))
+    prose = texts.groupBy("best_lang", "size").agg(middle("nearness").alias("m_near"), middle("slope").alias("m_slope"), middle("residual").alias("m_residual"))
+    prose = F.broadcast(prose)  # languages with a model times the powers of two of a length
+    off = curves.join(prose, ["best_lang", "size"])
+    deviation = texts.join(prose, ["best_lang", "size"]).groupBy("best_lang", "size").agg(middle(F.abs(F.col("slope") - F.col("m_slope"))).alias("d_slope"), middle(F.abs(F.col("residual") - F.col("m_residual"))).alias("d_residual"))
     far = off.join(F.broadcast(deviation), ["best_lang", "size"]).select(
         "doc_id", "n", "types", "slope", "residual", "nearness", "best_lang",
         # A language may lack prose of a length; then what is usual for most texts counts.

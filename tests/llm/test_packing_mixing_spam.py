@@ -109,6 +109,17 @@ def test_spam(spark):
     assert 0.02 < share < 0.12
 
 
+def test_copies_of_spam_stay_spam(spark):
+    """One keyword text as a third of all rows doesn't become prose."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    before = {r.doc_id for r in spam.spam_posts(docs).collect()}
+    n = docs.count() // 2
+    copies = spark.range(n).select((-1 - F.col("id")).alias("doc_id"), F.lit("en").alias("lang"), F.lit("vellum discount; vellum discount top; vellum store discount; discount vellum online; vellum top").alias("text"))
+    found = {r.doc_id for r in spam.spam_posts(docs.unionByName(copies)).collect()}
+    assert len([d for d in found if d < 0]) == n
+    assert len(before - found) <= 0.01 * len(before)
+
+
 def test_spam_without_posts(spark):
     assert spam.spam_posts(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
 
