@@ -1,9 +1,9 @@
 """Lines of lexicon text files: valid lines become lexemes and forms, the others are kept apart with their reasons.
 
 A line is read permissively by from_csv under an explicit schema that retains the raw text of a corrupt line. Lines
-that it calls corrupt, and those that hold a quote or a line break inside (on which the reader is lenient), are read
-again field by field: first the quoting is checked, then the number of fields. The casts and values of word, parsing
-tag and Strong's list are checked on every line.
+that it calls corrupt, and those that hold a quote or a line break inside (on which the reader is lenient) or more
+fields than any record, are read again field by field: first the quoting is checked, then the number of fields. The
+casts and values of word, parsing tag and Strong's list are checked on every line.
 
 A line of only spaces and tabs, or null, is no record. A null file_name is a file of its own; lines without a line_no
 come first in it. All checks are row by row; the only shuffles are those that give a form line its lexeme line, for
@@ -27,7 +27,8 @@ MAX_WORD_BYTES = 499
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^"|]*+)'
 _WELL_QUOTED = rf"^{_FIELD}(?:\|{_FIELD})*+\z"
 _EACH = rf"\|({_FIELD})"
-_ODD = '["\\n\\r\\u0000]'
+# Also more fields than any record has: the reader gives up on lines of very many, and their count is wrong anyway.
+_ODD = rf'["\n\r\u0000]|^(?:[^|]*+\|){{{len(LEXEME_FIELDS)}}}'
 _OPTIONS = {"sep": "|", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "raw", "maxCharsPerColumn": "-1", "nullValue": "\u0001", "emptyValue": ""}
 
 

@@ -44,6 +44,13 @@ def test_reasons(classified):
     assert {i: got.get(i) for i in range(len(CASES))} == {i: c[1] for i, c in enumerate(CASES)}
 
 
+def test_lines_of_very_many_fields(spark):
+    rows = [(1, LEX), (2, "|" * 25_000), (3, "  λέων" + "|x" * 25_000), (4, "λέων" + "|x" * 12), (5, "  λέων" + "|" * 6), (6, 'a|"b"' + "|" * 25_000)]
+    lines = spark.createDataFrame([(i, "f", i, t) for i, t in rows], "line_id long, file_name string, line_no int, line string")
+    got = {(r.line_id, r.reason) for r in L.rejected_lines(lines, spark.createDataFrame([("N-NSM", 42)], "tag string, packed int")).collect()}
+    assert got == {(i, "columns") for i in range(2, 7)}
+
+
 def test_quoted_fields(classified):
     rows = {r.line_id: r.fields for r in classified.select("line_id", "fields").collect()}
     assert rows[3] == ["λέων", "N-NSM", "yes", "1", "", "a|b"]
