@@ -5,8 +5,9 @@ several where it has more (UTF-8, double-byte pages). So every swap is a cipher
 a source of its own:
 
 1. Letter bigrams of each language are counted over all its plain texts.
-2. Texts with characters outside their language's alphabet are suspects. Under each swap a suspect falls into units.
-   The swaps of public code pages give starting keys; which of them are at work isn't known beforehand.
+2. Texts with characters outside their language's alphabet are suspects; of a wide script, which may hold garbled text
+   too, also texts that hide UTF-8 (a check of the row alone; what hides it isn't counted in 1). Under each swap a suspect
+   falls into units. The swaps of public code pages give starting keys; which of them are at work isn't known beforehand.
 3. Unit bigrams of each source are counted over all its suspects, and expectation-maximisation fits P(unit | letter)
    against the language's letter bigrams, with the starting key as a weak prior.
 4. Each suspect is translated with the keys so learned, twice if need be (text garbled twice), wholly or only where it
@@ -74,6 +75,10 @@ RIGHT = {
     "aaa": ("cp1257",),
 }
 _DOUBLE = ("gbk", "big5", "cp949")
+#: Wrong pages of text garbled twice, the second time.
+TWICE = ("latin-1", "cp1252")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+_HAN_HANGUL = re.compile(r"[\u3400-\u9fff\uac00-\ud7a3]")
 _MIXED = re.compile(r"[A-Za-z][^\W\d_A-Za-z]|[^\W\d_A-Za-z][A-Za-z]")
 _OOV = -11.0
 _MARK = -7.0
@@ -116,6 +121,25 @@ def _bytes(text: str, wrong: str) -> bytes | None:
     return bytes(out)
 
 
+def utf8_in_gbk(run: str) -> str | None:
+    """What a run of characters was, if it is UTF-8 read as GBK (with characters lost where it has U+FFFD)."""
+    try:
+        return run.replace("�", "").encode("gbk").decode("utf-8", "ignore" if "�" in run else "strict")
+    except UnicodeError:
+        return None
+
+
+def hidden_utf8(text: str) -> list[str]:
+    """What the runs of text that are UTF-8 read as GBK were."""
+    return [d for d in map(utf8_in_gbk, _NOT_ASCII.findall(text)) if d]
+
+
+def surely_hidden(text: str) -> bool:
+    """Whether such a run holds characters of three bytes, at once or read as UTF-8 again; ordinary characters may well be
+    ones of two bytes by chance."""
+    return any(max(d) >= "\u0800" or any(len(m) > 2 for w in TWICE for m in utf8_units(w).findall(d)) for d in hidden_utf8(text))
+
+
 @dataclass(frozen=True)
 class Swap:
     """Text of the page right that was decoded as the page wrong."""
@@ -147,17 +171,17 @@ class Swap:
         return [(c, b > 0x7F) for c, b in zip(text, raw)]
 
     def _whole(self, text: str) -> list[tuple[str, bool]] | None:
-        """UTF-8 read as a double-byte page: its characters share bytes, so that the whole run is one stretch."""
+        """UTF-8 read as a double-byte page: its characters share bytes, so that a whole run is one stretch. Runs that
+        can't be such stay; beside one that becomes wide, also those that don't."""
+        runs = re.findall(r"[^\x00-\x7f]+|[\x00-\x7f]+", text)
+        decoded = [None if run < "\x80" else utf8_in_gbk(run) for run in runs]
+        wide = any(d and _HAN_HANGUL.search(d) for d in decoded)
         out: list[tuple[str, bool]] = []
-        for run in re.findall(r"[^\x00-\x7f]+|[\x00-\x7f]", text):
-            if run < "\x80":
-                out.append((run, False))
-                continue
-            try:
-                decoded = run.replace("�", "").encode("gbk").decode("utf-8", "ignore" if "�" in run else "strict")
-            except UnicodeError:
-                return None
-            out += [("" + c, True) for c in decoded]
+        for run, d in zip(runs, decoded):
+            if d is None or wide and not _HAN_HANGUL.search(d):
+                out += [(c, False) for c in run]
+            else:
+                out += [("" + c, True) for c in d]
         return out if any(k for _, k in out) else None
 
     def start(self, unit: str) -> str | None:
@@ -258,6 +282,8 @@ def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         column = pc.dictionary_encode(batch.column("lang"))
         texts = {lang: batch.column("text").filter(pc.equal(column.indices, i)).to_pylist() for i, lang in enumerate(column.dictionary.to_pylist())}
+        # In a wide script, garbled text may have letters of the script only.
+        texts = {lang: [t for t in own if not surely_hidden(t)] if lang in _WIDE else own for lang, own in texts.items()}
         langs, pairs, counts = [], [], []
         for lang, own in texts.items():
             points = np.frombuffer((" " + " ".join(own) + " ").lower().encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -315,16 +341,23 @@ def learn_languages(texts: DataFrame) -> dict[str, Language]:
 
 
 def suspects(texts: DataFrame, languages: dict[str, Language]) -> DataFrame:
-    """Texts with a character that isn't ordinary in their language, U+FFFD, or a capital inside a word."""
+    """Texts with a character that isn't ordinary in their language, U+FFFD, or a capital inside a word; sure is false for
+    texts in a wide script only, which are suspect only if they hide UTF-8. There, any letter of the script is ordinary,
+    so that the verdict doesn't depend on how many texts there are."""
     rest = None
     ascii_ = "".join(chr(i) for i in range(32, 127)) + PUNCTUATION
     for lang, model in languages.items():
         own = "".join(model.letters)
         own += "".join(c.upper() for c in own if len(c.upper()) == 1 and c.upper() != c)
-        left = F.translate(F.col("text"), ascii_ + own, "") != ""
+        if lang in _WIDE:
+            left = F.regexp_like("text", F.lit(rf"[^\x20-\x7e{PUNCTUATION}{SCRIPTS[lang]}]"))
+        else:
+            left = F.translate(F.col("text"), ascii_ + own, "") != ""
         rest = F.when(F.col("lang") == lang, left) if rest is None else rest.when(F.col("lang") == lang, left)
     odd = F.coalesce(rest, F.lit(False)) if rest is not None else F.lit(False)
-    return texts.filter(F.col("text").isNotNull() & F.regexp_like("text", F.lit(r"[^\x00-\x7f]")) & (odd | F.contains("text", F.lit("�")) | F.regexp_like("text", F.lit(r"\p{L}\p{Lu}"))))
+    sure = odd | F.contains("text", F.lit("�")) | F.regexp_like("text", F.lit(r"\p{L}\p{Lu}"))
+    found = texts.filter(F.col("text").isNotNull() & F.regexp_like("text", F.lit(r"[^\x00-\x7f]"))).withColumn("sure", sure)
+    return found.filter(F.col("sure") | (F.coalesce("lang", F.lit("")).isin(*_WIDE) & F.regexp_like("text", F.lit(r"\p{IsHan}"))))
 
 
 Keys = dict[tuple[str, str, str], dict[str, str]]
@@ -385,7 +418,7 @@ class Reader:
     def __init__(self, languages: dict[str, Language], keys: Keys):
         self.languages = languages
         self.ciphers = {lang: [Cipher(s, keys.get((lang, s.right, s.wrong), {})) for s in swaps(lang)] for lang in languages}
-        self.again = {lang: [c for c in own if c.swap.right == "utf-8" and c.swap.wrong in ("latin-1", "cp1252")] for lang, own in self.ciphers.items()}
+        self.again = {lang: [c for c in own if c.swap.right == "utf-8" and c.swap.wrong in TWICE] for lang, own in self.ciphers.items()}
 
     def translations(self, text: str, lang: str) -> Iterator[tuple[tuple[Swap, ...], str, str]]:
         """What the swaps, and UTF-8 swaps one after another, make of text."""
@@ -426,11 +459,14 @@ def _langs(lang: str | None) -> tuple[str, ...]:
 
 
 def _first_look(shared):
-    """Adds the likeliest translation by the starting keys: source (language, right and wrong page) and gain."""
+    """Adds the likeliest translation by the starting keys: source (language, right and wrong page) and gain; without the
+    texts that hide no UTF-8 and aren't suspect otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value, {})
         for batch in batches:
+            kept = [sure or bool(hidden_utf8(text)) for sure, text in zip(batch.column("sure").to_pylist(), batch.column("text").to_pylist())]
+            batch = batch.filter(pa.array(kept, pa.bool_())).drop_columns(["sure"])
             found = [reader.judge(text, _langs(lang)) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
             source = [None if f is None else [f[1], f[3][0].right, f[3][0].wrong] if len(f[3]) == 1 and f[0] >= MARGIN else [] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(source, pa.list_(pa.string()))], [*batch.schema.names, "source"])
@@ -543,11 +579,11 @@ def judged_with(texts: DataFrame, languages: dict[str, Language], all_suspects:
     words = {k: languages[k] for k in ("el", "he", "aaa") if k in languages}
     found = suspects(named, languages)
     if all_suspects:
-        found = texts
+        found = texts.withColumn("sure", F.lit(True))
     elif words:
         every = sorted({c for m in words.values() for c in m.letters})
         found = found.unionByName(suspects(starred, {"*": Language(every, np.zeros((1, 1)), np.zeros((1, 1)))}))
-    looked = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields) + ", source array<string>"
+    looked = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.drop("sure").schema.fields) + ", source array<string>"
     suspect = durable(found.mapInArrow(_first_look(ship(texts.sparkSession, languages)), looked))
     keys = learn_keys(suspect, languages)
     shared = ship(texts.sparkSession, (languages, keys))
