@@ -15,7 +15,8 @@
    advertising in sentences and from word lists in a discussion.
 
 Posts without own text, or with less than LEAST_TERMS terms and LEAST_LINKS links, are no spam. A null text has no
-terms; a null or untrue language is replaced by the one whose model fits best. Rows with a null doc_id can't be named
+terms; a null or untrue language is replaced by the one whose model fits best; where there is no model of a language,
+one over all posts counts. Rows with a null doc_id can't be named
 and are left out; repeated rows are judged one by one, and a post is spam if any of its rows is.
 
 Scale: the models are broadcast; a language has at most (mean number of different terms in a post) / COMMON terms, and a
@@ -172,6 +173,8 @@ def page_scores(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     raw = spread(documents).filter("doc_id is not null and text is not null").select("doc_id", "lang", raw_terms(F.col("text")).alias("raw"))
     model_rows = prose_models(raw).collect()  # bounded, see above
+    if not model_rows:  # no language is known: one model over all posts
+        model_rows = prose_models(raw.withColumn("lang", F.lit(""))).collect()
     langs = sorted({r.lang for r in model_rows})
     if not langs:
         return spark.createDataFrame([], _SCORES)

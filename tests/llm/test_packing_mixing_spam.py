@@ -120,6 +120,14 @@ def test_copies_of_spam_stay_spam(spark):
     assert len(before - found) <= 0.01 * len(before)
 
 
+def test_spam_without_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.lit(None).cast("string").alias("lang"), "text")
+    extra = spark.createDataFrame([(-1 - i, None, t) for i, t in enumerate(SPAM)] + [(-100 - i, None, t) for i, t in enumerate(HAM)], "doc_id long, lang string, text string")
+    found = {r.doc_id for r in spam.spam_posts(docs.unionByName(extra)).collect()}
+    assert {-1 - i for i in range(len(SPAM))} <= found
+    assert not {-100 - i for i in range(len(HAM))} & found
+
+
 def test_spam_without_posts(spark):
     assert spam.spam_posts(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
 
