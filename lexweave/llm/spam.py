@@ -58,13 +58,18 @@ _QUOTES = (
     r"(?is)\[quote\b[^\]]*+\](?:[^\[]++|\[(?!/?quote\b))*+\[/quote\]",
     r"(?is)<blockquote\b[^>]*+>(?:[^<]++|<(?!/?blockquote\b))*+</blockquote>",
 )
-_NESTED = 6
+_QUOTED = r"(?i)\[/quote\]|</blockquote>"
+#: What follows a divider or stands in small letters is a signature if it has at most so many characters and, after a
+#: divider, lines; more is the post's own text.
+SIGNATURE_CHARS, SIGNATURE_LINES = 400, 8
+_DIVIDER = r"\n(?:-- ?|_{5,}|={5,}|\*{3})[ \t]*\n"
 _SIGNATURES = (
-    r"(?s)\n(?:-- ?|_{5,}|={5,}|\*{3})[ \t]*\n.*+\z",
+    # The last divider that something follows.
+    rf"(?s){_DIVIDER}(?=.{{0,{SIGNATURE_CHARS}}}\z)(?=(?:[^\n]*+\n){{0,{SIGNATURE_LINES - 1}}}[^\n]*+\s*+\z)(?!.*?{_DIVIDER}\s*+\S).*+\z",
     r"(?m)^[ \t]*~[^~\n]{1,60}~[ \t]*$",
     r"(?im)^sent from my [^\n]*$",
-    r"(?is)\[size=[^\]]*+\](?:[^\[]++|\[(?!/size\]))*+(?:\[/size\]|\z)",
-    r"(?is)<br\s*+/?>\s*+<i>[^<]*+(?:</i>|\z)",
+    rf"(?is)\[size=[^\]]*+\](?:[^\[]|\[(?!/size\])){{0,{SIGNATURE_CHARS}}}+(?:\[/size\]|\z)",
+    rf"(?is)<br\s*+/?>\s*+<i>[^<]{{0,{SIGNATURE_CHARS}}}+(?:</i>|\z)",
 )
 _TERM = rf"{_URL}|#[\p{{L}}\p{{N}}_]++|\p{{N}}[\p{{N}}.,]*+|\p{{L}}[\p{{L}}\p{{M}}]*+(?:['’][\p{{L}}\p{{M}}]++)*+"
 
@@ -75,10 +80,14 @@ _WORD = r"^\p{L}[^.:]*+\z"
 def own_text(text: Column) -> Column:
     """Text without quotations, lines that introduce them, and signatures."""
     start = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
-    out = start
-    for _ in range(_NESTED):
+
+    def innermost_away(text: Column, _: Column) -> Column:
         for pattern in _QUOTES:
-            out = F.regexp_replace(out, pattern, "\n")
+            text = F.regexp_replace(text, pattern, "\n")
+        return text
+
+    # As often as quotations end, which is at least their depth.
+    out = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(start, F.lit(_QUOTED)))), start, innermost_away)
     out = F.regexp_replace(out, r"(?i)\[/?quote\b[^\]]*+\]|</?blockquote\b[^>]*+>", "\n")
     # Most posts have no quotation in brackets.
     out = F.when(F.regexp_like(start, F.lit(r"(?i)\[/?quote\b|</?blockquote\b")), out).otherwise(start)

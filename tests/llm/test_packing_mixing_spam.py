@@ -136,3 +136,20 @@ def test_own_text(spark):
     texts = ["> a\nmine", "[quote=x][quote]a[/quote]b[/quote]mine", "<blockquote>a</blockquote>mine", "joe wrote:\n> a\nmine", "mine\n-- \nme", "mine\n~ me ~", "[quote]" + "a" * 100_000 + "[/quote]mine"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r[1].strip() for r in df.select("i", spam.own_text(F.col("t"))).orderBy("i").collect()] == ["mine"] * len(texts)
+
+
+def test_long_text_after_a_divider_is_own_text(spark):
+    long = "cheap socks online " * 40
+    cases = [
+        ("a\n***\n" + long + "\n-- \nme", "a *** " + long),
+        ("a\n=====\n" + long, "a ===== " + long),
+        ("a\n_____\n" + "b\n" * 50, "a _____ " + "b " * 50),
+        ("a\n***\nb\n-- \nme\n=====\n", "a *** b"),
+        ("[size=1]" + long, "[size=1]" + long),
+        ("a [size=1]me", "a"),
+        ("[quote]" * 40 + "b" + "[/quote]" * 40 + "a", "a"),
+        ("[quote]a[quote]" + "<blockquote>" * 9 + "b" + "</blockquote>" * 9 + "[/quote]c[/quote]d", "d"),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    got = [" ".join(r[1].split()) for r in df.select("i", spam.own_text(F.col("t"))).orderBy("i").collect()]
+    assert got == [" ".join(c[1].split()) for c in cases]
