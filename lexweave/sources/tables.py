@@ -11,9 +11,9 @@ from ..operators.lexicon import Lexicon
 NAMES = ("lexemes", "forms", "by_form", "by_lexeme", "by_gloss", "by_transliteration")
 
 
-def write_tables(lexicon: Lexicon, path: str, limit: int | None = index.MAX_RESULTS) -> None:
-    """Tables under path. Posting lists are ranked, cut to limit and laid out by keyword, so that a lookup reads few row
-    groups."""
+def write_tables(lexicon: Lexicon, path: str, limit: int | None = None) -> None:
+    """Tables under path. Posting lists are ranked, whole unless there is a limit, and laid out by keyword, so that a lookup
+    reads few row groups. Without a limit, one task sorts (and spills) the list of a keyword."""
     lexicon.lexemes.write.mode("overwrite").parquet(f"{path}/lexemes")
     lexicon.forms.select(*lexicon.forms_all.columns).write.mode("overwrite").parquet(f"{path}/forms")
     specs = {"by_form": index.FORM_SPEC, "by_lexeme": index.LEXEME_SPEC, "by_gloss": index.GLOSS_SPEC, "by_transliteration": index.GLOSS_SPEC}

@@ -22,6 +22,17 @@ def test_load_tells_files_apart(spark, tmp_path):
         assert sorted(r.word for r in again.forms.collect()) == words
 
 
+def test_stored_posting_lists_are_whole(spark, tmp_path):
+    """More than sixty forms of one prefix."""
+    words = ["λα" + a + b for a in "αβγδεζηθικ" for b in "αβγδεζηθικ"]
+    (tmp_path / "a.txt").write_text("\n".join(["λέων|el|800000|Noun|ὁ|||||||", *(f"  {w}|N-NSM|no|{300000 + i}||" for i, w in enumerate(words))]))
+    lexicon = sources.load_lexicon(spark, str(tmp_path / "a.txt")).written()
+    for path, limit in (("t", {}), ("top", {"limit": index.MAX_RESULTS})):
+        tables.write_tables(lexicon, str(tmp_path / path), **limit)
+        ranks = [r["rank"] for r in tables.read_table(spark, str(tmp_path / path), "by_form").filter("keyword = 'λα'").collect()]
+        assert sorted(ranks) == list(range(1, (limit or {"limit": len(words)})["limit"] + 1))
+
+
 def test_long_files_keep_their_order(spark, tmp_path):
     """A file that is read in many splits: each form finds the lexeme before it."""
     rng = random.Random(4)
