@@ -17,7 +17,7 @@ Text with U+FFFD has lost characters; it counts as garbled and is restored as fa
 
 Everything is counted over all rows. The driver gets letter bigrams (alphabets of at most LETTERS letters for the ten
 known languages; of Chinese and Korean only single letters) and unit bigrams of the sources: their sizes don't depend
-on the number of rows. Rows are never shuffled; only counts are.
+on the number of rows. Counts are shuffled, and the words of forms once, to join their lexeme's language.
 
 Null texts and empty ones are never garbled; equal rows are each judged alike; text in an unknown language is only
 held against U+FFFD.
@@ -57,6 +57,8 @@ LATIN = ("en", "es", "aaa", "de", "fr")
 _LATIN_LETTERS = r"a-z\x{DF}-\x{F6}\x{F8}-\x{17F}\x{1E00}-\x{1EFF}"
 PUNCTUATION = "’‘“”–—…«»"
 _WIDE = ("zh", "ko")
+#: Languages of words of lexemes and forms.
+WORDS = ("el", "he", "aaa")
 #: Marks a unit as a plain letter.
 PLAIN = "\x00"
 
@@ -340,26 +342,35 @@ def learn_languages(texts: DataFrame) -> dict[str, Language]:
     return out
 
 
-def suspects(texts: DataFrame, languages: dict[str, Language]) -> DataFrame:
+def suspects(texts: DataFrame, languages: dict[str, Language], own: tuple[dict[str, Language], DataFrame] | None = None) -> DataFrame:
     """Texts with a character that isn't ordinary in their language, U+FFFD, or a capital inside a word; sure is false for
     texts in a wide script only, which are suspect only if they hide UTF-8. There, any letter of the script is ordinary,
     so that the verdict doesn't depend on how many texts there are."""
     rest = None
-    ascii_ = "".join(chr(i) for i in range(32, 127)) + PUNCTUATION
     for lang, model in languages.items():
-        own = "".join(model.letters)
-        own += "".join(c.upper() for c in own if len(c.upper()) == 1 and c.upper() != c)
-        if lang in _WIDE:
-            left = F.regexp_like("text", F.lit(rf"[^\x20-\x7e{PUNCTUATION}{SCRIPTS[lang]}]"))
-        else:
-            left = F.translate(F.col("text"), ascii_ + own, "") != ""
+        left = F.regexp_like("text", F.lit(rf"[^\x20-\x7e{PUNCTUATION}{SCRIPTS[lang]}]")) if lang in _WIDE else _outside(model)
         rest = F.when(F.col("lang") == lang, left) if rest is None else rest.when(F.col("lang") == lang, left)
     odd = F.coalesce(rest, F.lit(False)) if rest is not None else F.lit(False)
     sure = odd | F.contains("text", F.lit("�")) | F.regexp_like("text", F.lit(r"\p{L}\p{Lu}"))
     found = texts.filter(F.col("text").isNotNull() & F.regexp_like("text", F.lit(r"[^\x00-\x7f]"))).withColumn("sure", sure)
+    if own is not None:  # also with letters foreign to the lexeme's language
+        words, heads = own
+        foreign = F.array(*[F.when(_outside(model), lang) for lang, model in words.items()])
+        langs = heads.select("lexeme_no", F.col("lang").alias("_lang")).filter(F.col("_lang").isin(*words)).dropDuplicates(["lexeme_no"])
+        joined = found.withColumn("_foreign", foreign).join(langs, "lexeme_no", "left")
+        other = F.coalesce(F.array_contains("_foreign", F.col("_lang")), F.lit(False))
+        joined = joined.filter(F.col("sure") | other).withColumn("lang", F.when(F.col("sure"), F.col("lang")).otherwise(F.col("_lang")))
+        return joined.withColumn("sure", F.lit(True)).select(*found.columns)
     return found.filter(F.col("sure") | (F.coalesce("lang", F.lit("")).isin(*_WIDE) & F.regexp_like("text", F.lit(r"\p{IsHan}"))))
 
 
+def _outside(model: Language) -> Column:
+    """Whether text has a character that is none of the language's letters, their capitals and plain signs."""
+    own = "".join(model.letters)
+    own += "".join(c.upper() for c in own if len(c.upper()) == 1 and c.upper() != c)
+    return F.translate(F.col("text"), "".join(chr(i) for i in range(32, 127)) + PUNCTUATION + own, "") != ""
+
+
 Keys = dict[tuple[str, str, str], dict[str, str]]
 
 
@@ -455,7 +466,7 @@ class Reader:
 
 
 def _langs(lang: str | None) -> tuple[str, ...]:
-    return ("el", "he", "aaa") if lang == "*" else (lang,) if lang else ()
+    return WORDS if lang == "*" else (lang,) if lang else ()
 
 
 def _first_look(shared):
@@ -567,22 +578,28 @@ def judged(texts: DataFrame) -> DataFrame:
 
     lang is a code of the project, or '*' for a word in Greek, Hebrew or Aramaic.
     """
-    training = texts.withColumn("lang", F.when(F.col("lang") == "*", F.when(F.regexp_like("text", F.lit(r"\p{IsGreek}")), "el").when(F.regexp_like("text", F.lit(r"\p{IsHebrew}")), "he")).otherwise(F.col("lang")))
-    languages = learn_languages(training)
-    return judged_with(texts, languages)
+    return judged_with(texts, learn_languages(_by_script(texts)))
+
 
+def _by_script(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("lang", F.when(F.col("lang") == "*", F.when(F.regexp_like("text", F.lit(r"\p{IsGreek}")), "el").when(F.regexp_like("text", F.lit(r"\p{IsHebrew}")), "he")).otherwise(F.col("lang")))
 
-def judged_with(texts: DataFrame, languages: dict[str, Language], all_suspects: bool = False) -> DataFrame:
-    """As judged, by languages learned elsewhere; with all_suspects, every text is judged and returned."""
+
+def judged_with(texts: DataFrame, languages: dict[str, Language], all_suspects: bool = False, heads: DataFrame | None = None) -> DataFrame:
+    """As judged, by languages learned elsewhere; with all_suspects, every text is judged and returned.
+
+    With heads (lexeme_no, lang), words of '*' are also suspect if their lexeme's language hasn't their letters, and
+    then judged as words of that language.
+    """
     starred = texts.filter("lang = '*'")
     named = texts.filter("lang is null or lang != '*'")
-    words = {k: languages[k] for k in ("el", "he", "aaa") if k in languages}
+    words = {k: languages[k] for k in WORDS if k in languages}
     found = suspects(named, languages)
     if all_suspects:
         found = texts.withColumn("sure", F.lit(True))
     elif words:
         every = sorted({c for m in words.values() for c in m.letters})
-        found = found.unionByName(suspects(starred, {"*": Language(every, np.zeros((1, 1)), np.zeros((1, 1)))}))
+        found = found.unionByName(suspects(starred, {"*": Language(every, np.zeros((1, 1)), np.zeros((1, 1)))}, None if heads is None else (words, heads)))
     looked = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.drop("sure").schema.fields) + ", source array<string>"
     suspect = durable(found.mapInArrow(_first_look(ship(texts.sparkSession, languages)), looked))
     keys = learn_keys(suspect, languages)
@@ -608,7 +625,9 @@ def dictionary_texts(lexemes: DataFrame, forms: DataFrame) -> DataFrame:
 
 def garbled_texts(lexemes: DataFrame, forms: DataFrame) -> DataFrame:
     """(field, lexeme_no, form_no, lang, text, restored, swap) of the garbled words of forms and gloss entries."""
-    return judged(dictionary_texts(spread(lexemes.select("lexeme_no", "lang", "word", "glosses")), spread(forms.select("lexeme_no", "form_no", "word", "glosses")))).filter("garbled and field != 'lexeme_word'").drop("garbled", "gain")
+    texts = dictionary_texts(spread(lexemes.select("lexeme_no", "lang", "word", "glosses")), spread(forms.select("lexeme_no", "form_no", "word", "glosses")))
+    found = judged_with(texts, learn_languages(_by_script(texts)), heads=lexemes)
+    return found.filter("garbled and field != 'lexeme_word'").drop("garbled", "gain")
 
 
 def garbled_records(lexemes: DataFrame, forms: DataFrame) -> DataFrame:
