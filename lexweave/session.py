@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,19 +30,38 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that a lost executor doesn't repeat its lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; only in local mode (tests) a temporary one stands in for it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexweave-"))
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="lexweave-")
+    return _local_folders[context.applicationId]
+
+
+_local_folders: dict[str, str] = {}
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, so that a lost executor doesn't repeat its lineage."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def durable_table(df: DataFrame) -> DataFrame:
+    """As durable, as a Parquet table: for wide rows that are read again in part, column by column."""
+    spark = df.sparkSession
+    path = f"{_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as the session has cores; only an input of few files is shuffled for that."""
     cores = df.sparkSession.sparkContext.defaultParallelism
