@@ -1,222 +1,325 @@
 """Posts of repeated keywords, link lists or product tags, by rank-frequency curves against prose.
 
-1. A post's own text is what remains without quotations and signature. Its terms are words in lower case, and one
-   common term each for links, hashtags and numbers.
-2. A language's prose model holds the share of its texts in which a term occurs, for terms of at least COMMON of them.
-   Each text counts a term once, and posts of the same words are one text, so that neither repetition nor copies make a
-   keyword common.
-3. Per post, SQL windows rank its terms by frequency; log frequency is fitted on log rank (slope, residual), and the
-   mean log share of its terms under the best language's model is its nearness to prose. Posts are held against prose
-   of their language and length (power of two): divergence, slope and residual become distances from the median over
-   different texts.
-4. Posts with an extreme divergence, slope or residual are candidates. Of these, a post is spam if most of it, by
-   characters, lies where no function words are near (windows of NEAR terms) or if it repeats terms and has few function
-   words, which tells masses of keywords from
-   advertising in sentences and from word lists in a discussion.
-
-Posts without own text, or with less than LEAST_TERMS terms and LEAST_LINKS links, are no spam. A null text has no
-terms; a null or untrue language is replaced by the one whose model fits best; where there is no model of a language,
-one over all posts counts. Rows with a null doc_id can't be named
-and are left out; repeated rows are judged one by one, and a post is spam if any of its rows is.
-
-Scale: the models are broadcast; a language has at most (mean number of different terms in a post) / COMMON terms, and a
-language below RARE_LANGUAGE of the texts has no model, so their size doesn't grow with the posts. Texts are shuffled
-once, as their different words, and copies are combined before; else only frequencies are shuffled by post, which all
-come from one row, so no key is hot.
+1. A post's own text is what remains without quotations and signature. Its terms are words in lower case, links, hashtags
+   and numbers; on the curve links, hashtags and numbers count as one term each. Terms are cut once and written.
+2. A language's prose model holds the share of its texts in which a word occurs, for the MODEL_TERMS most common words of
+   at least COMMON of them. Each text counts a word once, and posts of the same words are one text, so that neither
+   repetition nor copies make a keyword common. A post's own text is left out of the shares that it is held against, so
+   that a language of few posts judges as one of many.
+3. Per post, SQL windows rank its terms by frequency, and log frequency is fitted on log rank: slope, residual, and level
+   (mean log frequency, which a curve flat through repetition of everything still shows).
+4. Divergence: mean log share of each window of NEAR terms under the model of the best fitting language; what counts is
+   the window in the middle, by characters, so that it tells about the larger part of a post.
+5. Prose of the same language, and for curves of the same length (power of two), gives the quartiles of each; distances
+   are in interquartile ranges beyond them (Tukey's fences). A post is spam if its divergence alone is beyond
+   FAR_ALONE, or beyond OUTER with a curve outside the middle half of prose, or beyond INNER with an extreme curve.
+
+Posts of less than LEAST_TERMS terms and less than LEAST_LINKS links have no curve to speak of and are no spam, whatever
+they hold. A null text has no terms; a null or untrue language is replaced by the one whose model fits best. A language
+of less than LEAST_TEXTS different texts has no model; posts in it are judged by the curve alone, of which
+EXTREME_ALONE is asked then. Without any model, one over all posts counts. Rows with a null doc_id can't be named and are
+left out; repeated rows are judged one by one, and a post is spam if any of its rows is.
+
+Scale: models (at most MODEL_TERMS words for LANGUAGES languages, the ones of most texts) and quartiles (of languages by
+powers of two) are broadcast. Texts are shuffled once, as their different words, and copies are combined before; else
+frequencies and narrow rows are shuffled by post, so no key is hot.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable, ship, spread
+from ..session import durable, durable_table, ship, spread
 
 COMMON = 0.005
-FUNCTION = 0.12
-RARE_LANGUAGE = 0.01
+MODEL_TERMS = 5000
+LANGUAGES = 200
+LEAST_TEXTS = 20
 LEAST_TERMS = 5
 LEAST_LINKS = 3
 NEAR = 9
-SPARSE = 0.2
-FEW = 0.4
-VARIED = 0.9
-#: Nearness to prose, in natural log, by which a post is a candidate; distances (in median deviations) for the others.
-DIVERGENCE = 0.8
-EXTREME = 6.0
+#: Fences, in interquartile ranges beyond the quartiles.
+INNER, OUTER, FAR_ALONE = 1.5, 3.0, 4.5
+EXTREME, EXTREME_ALONE = 9.0, 12.0
+#: Least interquartile ranges: short posts of prose may all have the same curve.
+LEAST_RANGE = {"slope": 0.1, "residual": 0.05, "level": 0.05, "nearness": 0.2}
+#: Bins of the histogram of windows, from the share of a word off the model to 1.
+BINS = 300
+FLOOR = math.log(COMMON / 2)
+#: Posts that are scored at once.
+SLICE = 2000
 LINK, TAG, NUMBER = "\u0001", "\u0002", "\u0003"
 
 _URL = r"(?:https?://|www\.)[^\s<>\[\]()\"']+"
 # Innermost quotations; possessive, so that long ones need no stack.
 _QUOTES = (
-    r"(?is)\[quote\b[^\]]*+\](?:[^\[]++|\[(?!/?quote\b))*+\[/quote\]",
-    r"(?is)<blockquote\b[^>]*+>(?:[^<]++|<(?!/?blockquote\b))*+</blockquote>",
+    re.compile(r"(?is)\[quote\b[^\]]*+\](?:[^\[]++|\[(?!/?quote\b))*+\[/quote\]"),
+    re.compile(r"(?is)<blockquote\b[^>]*+>(?:[^<]++|<(?!/?blockquote\b))*+</blockquote>"),
 )
-_QUOTED = r"(?i)\[/quote\]|</blockquote>"
+_LEFT_OVER = re.compile(r"(?i)\[/?quote\b[^\]]*+\]|</?blockquote\b[^>]*+>")
+_QUOTED_LINE = re.compile(r"(?m)^[ \t]*+(?:>|&gt;)[^\n]*+$")
+_INTRODUCES = re.compile(r"(?m)^[^\n]{1,80}\b(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*+:?[ \t]*+$")
 #: What follows a divider or stands in small letters is a signature if it has at most so many characters and, after a
 #: divider, lines; more is the post's own text.
 SIGNATURE_CHARS, SIGNATURE_LINES = 400, 8
-_DIVIDER = r"\n(?:-- ?|_{5,}|={5,}|\*{3})[ \t]*\n"
+_DIVIDER = re.compile(r"\n(?:-- ?|_{5,}|={5,}|\*{3})[ \t]*(?=\n)")
 _SIGNATURES = (
-    # The last divider that something follows.
-    rf"(?s){_DIVIDER}(?=.{{0,{SIGNATURE_CHARS}}}\z)(?=(?:[^\n]*+\n){{0,{SIGNATURE_LINES - 1}}}[^\n]*+\s*+\z)(?!.*?{_DIVIDER}\s*+\S).*+\z",
-    r"(?m)^[ \t]*~[^~\n]{1,60}~[ \t]*$",
-    r"(?im)^sent from my [^\n]*$",
-    rf"(?is)\[size=[^\]]*+\](?:[^\[]|\[(?!/size\])){{0,{SIGNATURE_CHARS}}}+(?:\[/size\]|\z)",
-    rf"(?is)<br\s*+/?>\s*+<i>[^<]{{0,{SIGNATURE_CHARS}}}+(?:</i>|\z)",
+    re.compile(r"(?m)^[ \t]*~[^~\n]{1,60}~[ \t]*$"),
+    re.compile(r"(?im)^sent from my [^\n]*$"),
+    re.compile(rf"(?is)\[size=[^\]]*+\](?:[^\[]|\[(?!/size\])){{0,{SIGNATURE_CHARS}}}+(?:\[/size\]|\Z)"),
+    re.compile(rf"(?is)<br\s*+/?>\s*+<i>[^<]{{0,{SIGNATURE_CHARS}}}+(?:</i>|\Z)"),
 )
-_TERM = rf"{_URL}|#[\p{{L}}\p{{N}}_]++|\p{{N}}[\p{{N}}.,]*+|\p{{L}}[\p{{L}}\p{{M}}]*+(?:['’][\p{{L}}\p{{M}}]++)*+"
+_LINK_CODE = re.compile(r"(?i)\[url=[\"']?([^\]\"']*+)[\"']?\]")
+_LINK_TAG = re.compile(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*+)[^>]*+>")
+_MARKUP = re.compile(r"<[^>]{1,300}>|\[/?[A-Za-z]+(?:=[^\]]*)?\]|&#?\w{1,8};")
 
-# What of these is a word: links hold a dot or colon, the others start with no letter.
-_WORD = r"^\p{L}[^.:]*+\z"
 
+@lru_cache(1)
+def _term() -> re.Pattern:
+    import regex
 
-def own_text(text: Column) -> Column:
+    return regex.compile(rf"{_URL}|#[\p{{L}}\p{{N}}_]++|\p{{N}}[\p{{N}}.,]*+|\p{{L}}[\p{{L}}\p{{M}}]*+(?:['’][\p{{L}}\p{{M}}]++)*+")
+
+
+def strip_others(text: str) -> str:
     """Text without quotations, lines that introduce them, and signatures."""
-    start = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
-
-    def innermost_away(text: Column, _: Column) -> Column:
-        for pattern in _QUOTES:
-            text = F.regexp_replace(text, pattern, "\n")
-        return text
-
-    # As often as quotations end, which is at least their depth.
-    out = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(start, F.lit(_QUOTED)))), start, innermost_away)
-    out = F.regexp_replace(out, r"(?i)\[/?quote\b[^\]]*+\]|</?blockquote\b[^>]*+>", "\n")
-    # Most posts have no quotation in brackets.
-    out = F.when(F.regexp_like(start, F.lit(r"(?i)\[/?quote\b|</?blockquote\b")), out).otherwise(start)
-    out = F.regexp_replace(out, r"(?m)^[ \t]*+(?:>|&gt;)[^\n]*+$", "")
-    # Lines that introduce a quotation; the whole pattern only where a line ends so at all.
-    ends = r"(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*+:?[ \t]*+"
-    out = F.when(F.regexp_like(out, F.lit(rf"(?m){ends}$")), F.regexp_replace(out, rf"(?m)^[^\n]{{1,80}}\b{ends}$", "")).otherwise(out)
+    out = "\n" + text.replace("\r\n", "\n").replace("\r", "\n")
+    if "quote" in out.lower():
+        last = None
+        while out != last:  # innermost ones go until none is left
+            last = out
+            for pattern in _QUOTES:
+                out = pattern.sub("\n", out)
+        out = _LEFT_OVER.sub("\n", out)
+    out = _INTRODUCES.sub("", _QUOTED_LINE.sub("", out))
+    followed = [m for m in _DIVIDER.finditer(out) if not out[m.end() :].isspace()]
+    if followed:
+        tail = out[followed[-1].end() + 1 :]
+        if len(tail) <= SIGNATURE_CHARS and tail.rstrip().count("\n") < SIGNATURE_LINES:
+            out = out[: followed[-1].start()]
     for pattern in _SIGNATURES:
-        out = F.regexp_replace(out, pattern, "\n")
+        out = pattern.sub("\n", out)
     return out
 
 
-def raw_terms(text: Column) -> Column:
+def cut_terms(text: str) -> list[str]:
     """Links, hashtags, numbers and words of the own text, in order."""
-    out = F.regexp_replace(own_text(text), r"(?i)\[url=[\"']?([^\]\"']*+)[\"']?\]", " $1 ")
-    out = F.regexp_replace(out, r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*+)[^>]*+>", " $1 ")
-    out = F.regexp_replace(out, r"<[^>]{1,300}>|\[/?[A-Za-z]+(?:=[^\]]*)?\]|&#?\w{1,8};", " ")
-    return F.regexp_extract_all(F.lower(out), F.lit(_TERM), F.lit(0))
+    out = _LINK_TAG.sub(r" \1 ", _LINK_CODE.sub(r" \1 ", strip_others(text)))
+    return _term().findall(_MARKUP.sub(" ", out).lower())
+
+
+def own_text(text: Column) -> Column:
+    """strip_others as a column function."""
+    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else strip_others(t)), "string")(text)
+
+
+def is_link(term: str) -> bool:
+    return term.startswith(("http://", "https://", "www."))
+
+
+def _kind(term: str) -> str:
+    return LINK if is_link(term) else TAG if term[0] == "#" else NUMBER if term[0].isnumeric() else term
+
+
+_TERMS = "row long, doc_id long, lang string, terms array<string>, words string, links int, freqs array<int>, terms_of array<int>"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per post: its terms, its different words as one text, links, and how many terms occur with each frequency."""
+    for batch in batches:
+        rows, terms, words, links, freqs, terms_of = [], [], [], [], [], []
+        for at, text in enumerate(batch.column("text").to_pylist()):
+            own = cut_terms(text)
+            if not own:
+                continue
+            counts: Counter[str] = Counter()
+            for term, n in Counter(own).items():
+                counts[_kind(term)] += n
+            spectrum = sorted(Counter(counts.values()).items(), reverse=True)
+            rows.append(at)
+            terms.append(own)
+            words.append(" ".join(sorted(counts)))
+            links.append(counts[LINK])
+            freqs.append([f for f, _ in spectrum])
+            terms_of.append([k for _, k in spectrum])
+        kept = pa.array(rows, pa.int64())
+        made = [pa.array(terms, pa.list_(pa.string())), pa.array(words, pa.string()), pa.array(links, pa.int32()), pa.array(freqs, pa.list_(pa.int32())), pa.array(terms_of, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("row", "doc_id", "lang")), *made], ["row", "doc_id", "lang", "terms", "words", "links", "freqs", "terms_of"])
+
+
+def cut_posts(documents: DataFrame) -> DataFrame:
+    """The terms of all posts that have any, written once; rows get numbers."""
+    usable = spread(documents).filter("doc_id is not null and text is not null").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    return durable_table(usable.mapInArrow(_cut, _TERMS))
 
 
 def prose_models(posts: DataFrame) -> DataFrame:
-    """posts (lang, raw) to (lang, term, share), the prose models. Links, hashtags and numbers have no share.
+    """posts (lang, words) to (lang, term, n, texts): in how many of a language's different texts a word occurs."""
+    texts = posts.filter("lang is not null").groupBy("lang", "words").agg(F.lit(1).alias("one"))
+    # Markers of links, hashtags and numbers are no words. An empty term counts the texts themselves.
+    words = F.filter(F.split("words", " "), lambda w: w > F.lit(NUMBER))
+    counted = durable(texts.select("lang", F.explode_outer(F.array_append(words, F.lit(""))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")))
+    sizes = counted.filter("term = ''").select("lang", F.col("n").alias("texts")).filter(F.col("texts") >= LEAST_TEXTS)
+    sizes = F.broadcast(sizes.orderBy(F.desc("texts"), "lang").limit(LANGUAGES))
+    common = counted.filter("term != ''").join(sizes, "lang").filter(F.col("n") >= F.col("texts") * COMMON)
+    ranked = common.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term")))
+    return ranked.filter(F.col("_r") <= MODEL_TERMS).drop("_r")
 
-    Posts of the same words are one text here, so that copies don't make their keywords common, however many they are.
-    """
-    words = F.array_distinct(F.filter("raw", lambda r: F.regexp_like(r, F.lit(_WORD))))
-    texts = posts.filter("lang is not null").select("lang", words.alias("words")).groupBy("lang", "words").agg(F.lit(1).alias("one"))
-    # An empty term counts the texts themselves. explode_outer: the plain form would make the terms a second time, to drop texts without any.
-    counted = durable(texts.select("lang", F.explode_outer(F.array_append("words", F.lit(""))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")))
-    sizes = counted.filter("term = ''").select("lang", F.col("n").alias("texts"))
-    whole = sizes.agg(F.sum("texts").alias("all_texts"))
-    sizes = sizes.join(F.broadcast(whole)).filter(F.col("texts") >= F.col("all_texts") * RARE_LANGUAGE)
-    shares = counted.filter("term != ''").join(F.broadcast(sizes), "lang").select("lang", "term", (F.col("n") / F.col("texts")).alias("share"))
-    return shares.filter(F.col("share") >= COMMON)
+
+Models = dict[str, tuple[list[str], list[int], int]]
+
+
+def learn_models(posts: DataFrame) -> Models:
+    """Language to (words, texts with each, all texts); bounded by MODEL_TERMS and LANGUAGES."""
+    out: Models = {}
+    for r in prose_models(posts).collect():
+        words, counts, _ = out.setdefault(r.lang, ([], [], r.texts))
+        words.append(r.term)
+        counts.append(r.n)
+    return dict(sorted(out.items()))
 
 
-def _pages(shared):
-    """Per post: its terms' frequencies, nearness to prose in the best language, and, in the language with most function
-    words, their share and the share (by characters) of what lies where they are sparse."""
+_SCORED = "row long, doc_id long, lang string, best_lang string, n long, links int, nearness double, words string, freqs array<int>, terms_of array<int>, bins array<int>, bin_n array<int>"
+
+
+def _score(shared):
+    """Per post: the best fitting language, its middle window's nearness to prose, and the histogram of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        models: dict[str, dict[str, float]]
-        models, words = shared.value
-        half, floor = NEAR // 2, math.log(COMMON / 2)
-        names = ["row", "doc_id", "n", "freqs", "nearness", "best_lang", "function_share", "sparse_share", "links", "same"]
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in names[2:]}
-            rows = []
-            for at, raw in enumerate(batch.column("raw").to_pylist()):
-                n = len(raw or ())
-                if not n:
-                    continue
-                rows.append(at)
-                links = [r.startswith(("http://", "https://", "www.")) for r in raw]
-                terms = [LINK if k else TAG if r[0] == "#" else NUMBER if r[0].isnumeric() else r for r, k in zip(raw, links)]
-                counts = Counter(terms)
-                near, lang = max((sum(f * model.get(t, floor) for t, f in counts.items()) / n, k) for k, model in models.items())
-                flags = max(([r in own for r in raw] for own in words.values()), key=sum)
-                sums = np.concatenate([[0.0], np.cumsum(flags)])
-                place = np.arange(n)
-                low, high = np.maximum(0, place - half), np.minimum(n, place + half + 1)
-                weight = np.array([len(r) for r in raw], float)
-                # A link is never prose itself, whatever stands beside it.
-                sparse = ((sums[high] - sums[low]) / (high - low) < SPARSE) | np.array(links)
-                for k, v in (("n", n), ("freqs", list(counts.values())), ("nearness", near), ("best_lang", lang), ("function_share", sums[-1] / n), ("sparse_share", weight[sparse].sum() / weight.sum()), ("links", sum(links)), ("same", hashlib.blake2b("\n".join(terms).encode("utf-8", "surrogatepass"), digest_size=16).digest())):
-                    out[k].append(v)
-            kept = pa.array(rows, pa.int64())
-            types = [pa.int64(), pa.list_(pa.int32()), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(kept), batch.column("doc_id").take(kept), *(pa.array(v, t) for v, t in zip(out.values(), types))], names)
+        models: Models = shared.value
+        names = np.array([*models], object)
+        logs = []
+        for _, counts, texts in models.values():  # without the text itself
+            others = (np.array(counts, float) - 1) / max(1, texts - 1)
+            logs.append(np.append(np.log(np.maximum(others, COMMON / 2)), FLOOR))
+        words = [pa.array(w, pa.string()) for w, _, _ in models.values()]
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            lists = batch.column("terms")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.dictionary_encode(pc.list_flatten(lists))
+            codes = flat.indices.to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            best, total, value = np.zeros(len(sizes), int), np.full(len(sizes), -np.inf), np.zeros(len(codes))
+            for k, (own, log) in enumerate(zip(words, logs)):
+                at = pc.fill_null(pc.index_in(flat.dictionary, value_set=own), len(own)).to_numpy(zero_copy_only=False)
+                shares = log[at][codes]
+                sums = np.add.reduceat(shares, starts)
+                better = sums > total + 1e-9
+                best[better], total[better] = k, sums[better]
+                value = np.where(np.repeat(better, sizes), shares, value)
+            post = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(codes))
+            low, high = np.maximum(starts[post], place - NEAR // 2), np.minimum(ends[post], place + NEAR // 2 + 1)
+            sums = np.concatenate([[0.0], np.cumsum(value)])
+            near = np.round((sums[high] - sums[low]) / (high - low), 9)
+            # The middle window by characters.
+            weight = pc.utf8_length(flat.dictionary).to_numpy(zero_copy_only=False)[codes].astype(np.int64)
+            order = np.lexsort((near, post))
+            upto = np.cumsum(weight[order])
+            before = np.concatenate([[0], upto])[starts]
+            middle = near[order][np.searchsorted(upto, before + (upto[ends - 1] - before) / 2)]
+            kept, n = np.unique(post * BINS + np.clip(((near - FLOOR) / -FLOOR * BINS).astype(np.int64), 0, BINS - 1), return_counts=True)
+            offsets = pa.array(np.searchsorted(kept, np.arange(len(sizes) + 1) * BINS).astype(np.int32))
+            bins = pa.ListArray.from_arrays(offsets, pa.array((kept % BINS).astype(np.int32)))
+            bin_n = pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))
+            made = {"best_lang": pa.array(names[best], pa.string()), "n": pa.array(sizes), "nearness": pa.array(middle), "bins": bins, "bin_n": bin_n}
+            order_of = [f.split(" ")[0] for f in _SCORED.split(", ")]
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in order_of], order_of)
 
     return run
 
 
-_PAGE = "row long, doc_id long, n long, freqs array<int>, nearness double, best_lang string, function_share double, sparse_share double, links int, same binary"
+def rank_frequency(posts: DataFrame, carried: Column) -> DataFrame:
+    """posts (row, freqs, terms_of), where terms_of[i] terms occur freqs[i] times each, to (row, carried, slope, residual,
+    level) of log frequency fitted on log rank; terms of one frequency stand at their middle rank.
+
+    carried goes with the first point, so that nothing has to be joined back.
+    """
+    points = posts.select("row", F.posexplode(F.arrays_zip("freqs", "terms_of")).alias("i", "p"), carried.alias("_c"))
+    narrow = points.select("row", F.col("p.freqs").alias("f"), F.col("p.terms_of").alias("k"), F.when(F.col("i") == 0, F.col("_c")).alias("_c"))
+    upto = F.sum("k").over(Window.partitionBy("row").orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = narrow.withColumn("_upto", upto)
+    logs = ranked.select("row", "_c", F.col("k").cast("double").alias("w"), F.log(F.col("_upto") - (F.col("k") - 1) / 2).alias("x"), F.log("f").alias("y"))
+    sums = {"w": F.col("w"), "x": F.col("w") * F.col("x"), "y": F.col("w") * F.col("y"), "xx": F.col("w") * F.col("x") * F.col("x"), "xy": F.col("w") * F.col("x") * F.col("y"), "yy": F.col("w") * F.col("y") * F.col("y")}
+    fit = logs.groupBy("row").agg(F.max("_c").alias("_c"), *[F.sum(c).alias(name) for name, c in sums.items()])
+    centred = fit.select("row", "_c", "w", (F.col("y") / F.col("w")).alias("level"), *[(F.col(a + b) - F.col(a) * F.col(b) / F.col("w")).alias(f"s{a}{b}") for a, b in ("xx", "xy", "yy")])
+    slope = F.when(F.col("sxx") > 1e-9, F.col("sxy") / F.col("sxx")).otherwise(0.0)
+    lined = centred.withColumn("slope", slope)
+    residual = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy")) / F.col("w"))
+    return lined.select("row", "_c", "slope", residual.alias("residual"), "level")
+
+
+_CURVE = ("slope", "residual", "level")
+
+
+def _quartiles(texts: DataFrame, *keys: str) -> DataFrame:
+    """Quartiles of the curves, and the number of texts, by keys; accurate to a thousandth of the texts."""
+    middle = lambda c: F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"q_{c}")
+    return texts.groupBy(*keys).agg(F.count("*").alias("texts"), *[middle(c) for c in _CURVE])
 
 
-def rank_frequency(pages: DataFrame) -> DataFrame:
-    """pages (row, freqs) to (row, types, slope, residual): log frequency fitted on log rank."""
-    single = pages.select("row", F.explode("freqs").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("f")))
-    x, y = F.log(F.col("r")), F.log(F.col("f"))
-    fitted = single.withColumn("r", rank).groupBy("row").agg(F.count("*").alias("types"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.coalesce(F.regr_r2(y, x), F.lit(1.0)).alias("r2"))
-    residual = F.sqrt(F.greatest(F.lit(0.0), F.coalesce("syy", F.lit(0.0)) * (1 - F.col("r2"))) / F.col("types"))
-    return fitted.select("row", "types", F.coalesce("slope", F.lit(0.0)).alias("slope"), residual.alias("residual"))
+def _window_quartiles(texts: DataFrame) -> DataFrame:
+    """(best_lang, near_low, near_high): quartiles of the nearness of all windows of a language's prose, from bins."""
+    bins = texts.select("best_lang", F.explode(F.arrays_zip("bins", "bin_n")).alias("b")).groupBy("best_lang", F.col("b.bins").alias("bin")).agg(F.sum("b.bin_n").alias("n"))
+    own = Window.partitionBy("best_lang")  # at most BINS rows
+    share = F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("n").over(own)
+    placed = bins.withColumn("_share", share).withColumn("_value", FLOOR - (F.col("bin") + 0.5) / BINS * FLOOR)
+    return placed.groupBy("best_lang").agg(F.min(F.when(F.col("_share") >= 0.25, F.col("_value"))).alias("near_low"), F.min(F.when(F.col("_share") >= 0.75, F.col("_value"))).alias("near_high"))
+
+
+def _range(low: Column, high: Column, name: str) -> Column:
+    return F.greatest(high - low, F.lit(LEAST_RANGE[name]))
 
 
 def page_scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, types, slope, residual, nearness, best_lang, divergence, slope_far, residual_far, function_share,
-    sparse_share, links, spam) of each row with terms."""
+    """(doc_id, n, links, best_lang, nearness, slope, residual, level, divergence, curve_far, spam) of each row with
+    terms: divergence and curve_far are distances from prose in interquartile ranges; divergence is null in a language
+    without a model."""
     spark = documents.sparkSession
-    raw = spread(documents).filter("doc_id is not null and text is not null").select("doc_id", "lang", raw_terms(F.col("text")).alias("raw"))
-    model_rows = prose_models(raw).collect()  # bounded, see above
-    if not model_rows:  # no language is known: one model over all posts
-        model_rows = prose_models(raw.withColumn("lang", F.lit(""))).collect()
-    langs = sorted({r.lang for r in model_rows})
-    if not langs:
-        return spark.createDataFrame([], _SCORES)
-    models = {k: {r.term: math.log(r.share) for r in model_rows if r.lang == k} for k in langs}
-    words = {k: frozenset(r.term for r in model_rows if r.lang == k and r.share >= FUNCTION) for k in langs}
-    # Written once; rows keep their numbers.
-    pages = durable(raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", "raw").mapInArrow(_pages(ship(spark, (models, words))), _PAGE))
-    curves = pages.drop("freqs").join(rank_frequency(pages), "row").withColumn("size", F.floor(F.log2("n")))
-    curves = durable(curves)
-    # Prose of the language and length: medians over all its different texts, of which spam is the smaller part.
-    text = ["best_lang", "size", "same"]
-    texts = durable(curves.groupBy(*text).agg(*[F.min(c).alias(c) for c in ("nearness", "slope", "residual")]))
-    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    prose = texts.groupBy("best_lang", "size").agg(middle("nearness").alias("m_near"), middle("slope").alias("m_slope"), middle("residual").alias("m_residual"))
-    prose = F.broadcast(prose)  # languages with a model times the powers of two of a length
-    off = curves.join(prose, ["best_lang", "size"])
-    deviation = texts.join(prose, ["best_lang", "size"]).groupBy("best_lang", "size").agg(middle(F.abs(F.col("slope") - F.col("m_slope"))).alias("d_slope"), middle(F.abs(F.col("residual") - F.col("m_residual"))).alias("d_residual"))
-    far = off.join(F.broadcast(deviation), ["best_lang", "size"]).select(
-        "doc_id", "n", "types", "slope", "residual", "nearness", "best_lang",
-        # A language may lack prose of a length; then what is usual for most texts counts.
-        (F.greatest(F.col("m_near"), F.lit(_USUAL)) - F.col("nearness")).alias("divergence"),
-        (F.abs(F.col("slope") - F.col("m_slope")) / F.greatest(F.col("d_slope"), F.lit(0.05))).alias("slope_far"),
-        (F.abs(F.col("residual") - F.col("m_residual")) / F.greatest(F.col("d_residual"), F.lit(0.02))).alias("residual_far"),
-        "function_share", "sparse_share", "links",
-    )
-    candidate = (F.col("divergence") > DIVERGENCE) | (F.col("slope_far") > EXTREME) | (F.col("residual_far") > EXTREME)
+    posts = cut_posts(documents)
+    models = learn_models(posts)
+    if not models:  # no language is known well enough: one model over all posts
+        models = learn_models(posts.withColumn("lang", F.lit("")))
+        posts = posts.withColumn("lang", F.when(F.lit(bool(models)), "").otherwise(F.col("lang")))
+    models = models or {"": ([], [], 0)}
+    scored = posts.select("row", "doc_id", "lang", "terms", "links", "words", "freqs", "terms_of").mapInArrow(_score(ship(spark, models)), _SCORED)
+    # Posts that only differ in the order of their words are one text here.
+    carried = F.struct("doc_id", "lang", "best_lang", "n", "links", "nearness", F.xxhash64("words").alias("same"), "bins", "bin_n")
+    judged = rank_frequency(scored, carried).select("_c.*", *_CURVE, F.floor(F.log2("_c.n")).cast("int").alias("size"))
+    # What a language without a model is written in isn't known.
+    judged = durable(judged.withColumn("known", F.col("lang").isNull() | F.col("lang").isin([*models])))
+    # Prose: different texts in the language that they are said to be in, of which spam is the smaller part.
+    agreed = judged.filter(F.col("lang") == F.col("best_lang"))
+    texts = durable(agreed.select("best_lang", "size", "same", "bins", "bin_n", *_CURVE).distinct())
+    by_lang = F.broadcast(_window_quartiles(texts))
+    by_size = F.broadcast(_quartiles(judged.select("size", "same", *_CURVE).distinct(), "size").drop("texts"))
+    by_both = F.broadcast(_quartiles(texts, "best_lang", "size").filter(F.col("texts") >= LEAST_TEXTS).drop("texts"))
+    own = by_both.select("best_lang", "size", *[F.col(f"q_{c}").alias(f"own_{c}") for c in _CURVE])
+    held = judged.join(by_lang, "best_lang", "left").join(by_size, "size", "left").join(own, ["best_lang", "size"], "left")
+
+    def far(c: str) -> Column:
+        q = F.coalesce(F.when(F.col("known"), F.col(f"own_{c}")), F.col(f"q_{c}"))
+        low, high = F.get(q, F.lit(0)), F.get(q, F.lit(1))
+        return F.greatest(low - F.col(c), F.col(c) - high) / _range(low, high, c)
+
+    divergence = F.when(F.col("known"), (F.col("near_low") - F.col("nearness")) / _range(F.col("near_low"), F.col("near_high"), "nearness"))
+    out = held.select("doc_id", "n", "links", "best_lang", "nearness", *_CURVE, divergence.alias("divergence"), F.greatest(*[far(c) for c in _CURVE]).alias("curve_far"))
+    d, c = F.col("divergence"), F.col("curve_far")
+    extreme = (d > FAR_ALONE) | ((d > OUTER) & (c > 0)) | ((d > INNER) & (c > EXTREME)) | (d.isNull() & (c > EXTREME_ALONE))
     enough = (F.col("n") >= LEAST_TERMS) | (F.col("links") >= LEAST_LINKS)
-    repeated = (F.col("function_share") < FEW) & (F.col("types") < F.col("n") * VARIED)
-    return far.withColumn("spam", candidate & enough & ((F.col("sparse_share") > 0.5) | repeated))
-
-
-_USUAL = -2.2
-_SCORES = "doc_id long, n long, types long, slope double, residual double, nearness double, best_lang string, divergence double, slope_far double, residual_far double, function_share double, sparse_share double, links int, spam boolean"
+    return out.withColumn("spam", F.coalesce(enough & extreme, F.lit(False)))
 
 
 def spam_posts(documents: DataFrame) -> DataFrame:

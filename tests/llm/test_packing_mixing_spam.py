@@ -153,3 +153,37 @@ def test_long_text_after_a_divider_is_own_text(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
     got = [" ".join(r[1].split()) for r in df.select("i", spam.own_text(F.col("t"))).orderBy("i").collect()]
     assert got == [" ".join(c[1].split()) for c in cases]
+
+
+def test_rare_language_is_judged_alike(spark):
+    """Posts of a language get the same verdicts where it has only 40 posts; an unknown language is judged by curves alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
+    few = [r.doc_id for r in docs.filter("lang = 'fr' and doc_id % 7 = 1").orderBy("doc_id").limit(40).collect()]
+    whole = {r.doc_id for r in spam.spam_posts(docs).collect()} & set(few)
+    part = docs.filter((F.col("lang") != "fr") | F.col("doc_id").isin(few))
+    assert {r.doc_id for r in spam.spam_posts(part).collect()} & set(few) == whole
+    finnish = "Tämä kirja on hyvin vanha ja sen sivut ovat kellastuneet, mutta sana näkyy vielä selvästi rivin lopussa."
+    more = spark.createDataFrame([(-1, "fi", finnish), (-2, "fi", "halpa kello " * 60)], "doc_id long, lang string, text string")
+    assert {r.doc_id for r in spam.spam_posts(docs.unionByName(more)).collect() if r.doc_id < 0} == {-2}
+
+
+def test_curve_and_divergence_both_decide(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
+    rows = [r for r in spam.page_scores(docs).collect() if r.n >= spam.LEAST_TERMS or r.links >= spam.LEAST_LINKS]
+    found = {r.doc_id for r in rows if r.spam}
+    assert found != {r.doc_id for r in rows if r.divergence is not None and r.divergence > spam.FAR_ALONE}
+    assert found != {r.doc_id for r in rows if r.divergence is not None and r.divergence > spam.OUTER}
+    assert found < {r.doc_id for r in rows if r.curve_far > 0}  | {r.doc_id for r in rows if r.divergence is not None and r.divergence > spam.FAR_ALONE}
+
+
+def test_fit_against_least_squares(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(1, [9, 4, 1], [1, 2, 5]), (2, [3], [4]), (3, [7], [1])], "row long, freqs array<int>, terms_of array<int>")
+    got = {r.row: r for r in spam.rank_frequency(df, F.col("row")).collect()}
+    x = np.log([1, 2.5, 2.5, 6, 6, 6, 6, 6])
+    y = np.log([9, 4, 4, 1, 1, 1, 1, 1])
+    slope, start = np.polyfit(x, y, 1)
+    assert np.isclose(got[1].slope, slope) and np.isclose(got[1].level, y.mean())
+    assert np.isclose(got[1].residual, np.sqrt(((y - slope * x - start) ** 2).mean()))
+    assert (got[2].slope, got[2].residual) == (0, 0) and np.isclose(got[2].level, np.log(3)) and got[3].slope == 0
