@@ -29,10 +29,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -67,16 +67,18 @@ _QUOTES = (
 )
 _LEFT_OVER = re.compile(r"(?i)\[/?quote\b[^\]]*+\]|</?blockquote\b[^>]*+>")
 _QUOTED_LINE = re.compile(r"(?m)^[ \t]*+(?:>|&gt;)[^\n]*+$")
-_INTRODUCES = re.compile(r"(?m)^[^\n]{1,80}\b(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*+:?[ \t]*+$")
+_VERBS = ("wrote", "writes", "said", "schrieb", "escribió", "a écrit")
+_INTRODUCES = re.compile(rf"(?m)^[^\n]{{1,80}}\b(?:{'|'.join(_VERBS)})[ \t]*+:?[ \t]*+$")
 #: What follows a divider or stands in small letters is a signature if it has at most so many characters and, after a
 #: divider, lines; more is the post's own text.
 SIGNATURE_CHARS, SIGNATURE_LINES = 400, 8
 _DIVIDER = re.compile(r"\n(?:-- ?|_{5,}|={5,}|\*{3})[ \t]*(?=\n)")
+# Each with what the text in lower case must hold for it to occur.
 _SIGNATURES = (
-    re.compile(r"(?m)^[ \t]*~[^~\n]{1,60}~[ \t]*$"),
-    re.compile(r"(?im)^sent from my [^\n]*$"),
-    re.compile(rf"(?is)\[size=[^\]]*+\](?:[^\[]|\[(?!/size\])){{0,{SIGNATURE_CHARS}}}+(?:\[/size\]|\Z)"),
-    re.compile(rf"(?is)<br\s*+/?>\s*+<i>[^<]{{0,{SIGNATURE_CHARS}}}+(?:</i>|\Z)"),
+    ("~", re.compile(r"(?m)^[ \t]*~[^~\n]{1,60}~[ \t]*$")),
+    ("sent from my ", re.compile(r"(?im)^sent from my [^\n]*$")),
+    ("[size=", re.compile(rf"(?is)\[size=[^\]]*+\](?:[^\[]|\[(?!/size\])){{0,{SIGNATURE_CHARS}}}+(?:\[/size\]|\Z)")),
+    ("<i>", re.compile(rf"(?is)<br\s*+/?>\s*+<i>[^<]{{0,{SIGNATURE_CHARS}}}+(?:</i>|\Z)")),
 )
 _LINK_CODE = re.compile(r"(?i)\[url=[\"']?([^\]\"']*+)[\"']?\]")
 _LINK_TAG = re.compile(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*+)[^>]*+>")
@@ -93,28 +95,39 @@ def _term() -> re.Pattern:
 def strip_others(text: str) -> str:
     """Text without quotations, lines that introduce them, and signatures."""
     out = "\n" + text.replace("\r\n", "\n").replace("\r", "\n")
-    if "quote" in out.lower():
+    low = out.lower()
+    if "quote" in low:
         last = None
         while out != last:  # innermost ones go until none is left
             last = out
             for pattern in _QUOTES:
                 out = pattern.sub("\n", out)
         out = _LEFT_OVER.sub("\n", out)
-    out = _INTRODUCES.sub("", _QUOTED_LINE.sub("", out))
+    if ">" in out or "&gt;" in out:
+        out = _QUOTED_LINE.sub("", out)
+    if any(verb in out for verb in _VERBS):
+        out = _INTRODUCES.sub("", out)
     followed = [m for m in _DIVIDER.finditer(out) if not out[m.end() :].isspace()]
     if followed:
         tail = out[followed[-1].end() + 1 :]
         if len(tail) <= SIGNATURE_CHARS and tail.rstrip().count("\n") < SIGNATURE_LINES:
             out = out[: followed[-1].start()]
-    for pattern in _SIGNATURES:
-        out = pattern.sub("\n", out)
+    for sign, pattern in _SIGNATURES:
+        if sign in low:
+            out = pattern.sub("\n", out)
     return out
 
 
 def cut_terms(text: str) -> list[str]:
     """Links, hashtags, numbers and words of the own text, in order."""
-    out = _LINK_TAG.sub(r" \1 ", _LINK_CODE.sub(r" \1 ", strip_others(text)))
-    return _term().findall(_MARKUP.sub(" ", out).lower())
+    out = strip_others(text)
+    if "[" in out:
+        out = _LINK_CODE.sub(r" \1 ", out)
+    if "<" in out:
+        out = _LINK_TAG.sub(r" \1 ", out)
+    if "[" in out or "<" in out or "&" in out:
+        out = _MARKUP.sub(" ", out)
+    return _term().findall(out.lower())
 
 
 def own_text(text: Column) -> Column:
@@ -133,27 +146,40 @@ def _kind(term: str) -> str:
 _TERMS = "row long, doc_id long, lang string, terms array<string>, words string, links int, freqs array<int>, terms_of array<int>"
 
 
+def _lists(of: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
+    """values by the post of each, of n posts."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), values)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per post: its terms, its different words as one text, links, and how many terms occur with each frequency."""
-    for batch in batches:
-        rows, terms, words, links, freqs, terms_of = [], [], [], [], [], []
-        for at, text in enumerate(batch.column("text").to_pylist()):
-            own = cut_terms(text)
-            if not own:
-                continue
-            counts: Counter[str] = Counter()
-            for term, n in Counter(own).items():
-                counts[_kind(term)] += n
-            spectrum = sorted(Counter(counts.values()).items(), reverse=True)
-            rows.append(at)
-            terms.append(own)
-            words.append(" ".join(sorted(counts)))
-            links.append(counts[LINK])
-            freqs.append([f for f, _ in spectrum])
-            terms_of.append([k for _, k in spectrum])
-        kept = pa.array(rows, pa.int64())
-        made = [pa.array(terms, pa.list_(pa.string())), pa.array(words, pa.string()), pa.array(links, pa.int32()), pa.array(freqs, pa.list_(pa.int32())), pa.array(terms_of, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("row", "doc_id", "lang")), *made], ["row", "doc_id", "lang", "terms", "words", "links", "freqs", "terms_of"])
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        cut = [cut_terms(t) for t in batch.column("text").to_pylist()]
+        sizes = np.array([len(c) for c in cut], np.int64)
+        kept = pa.array(np.flatnonzero(sizes))
+        n, sizes = len(kept), sizes[sizes > 0]
+        flat = pa.array([t for c in cut for t in c], pa.string())
+        coded = pc.dictionary_encode(flat)
+        # Kinds are told of different terms only; their numbers follow the order of their texts.
+        kinds = [_kind(t) for t in coded.dictionary.to_pylist()]
+        known = sorted(set(kinds))
+        rank = {k: i for i, k in enumerate(known)}
+        kind_of = np.array([rank[k] for k in kinds], np.int64)[coded.indices.to_numpy()] if n else np.zeros(0, np.int64)
+        v = len(known) + 1
+        pairs, f = np.unique(np.repeat(np.arange(n), sizes) * v + kind_of, return_counts=True)
+        post, code = pairs // v, pairs % v
+        words = pc.binary_join(_lists(post, pa.array(known, pa.string()).take(pa.array(code)), n), " ")
+        links = np.zeros(n, np.int32)
+        if LINK in rank:
+            links[post[code == rank[LINK]]] = f[code == rank[LINK]]
+        most = int(f.max(initial=0)) + 1
+        spectrum, k = np.unique(post * most + (most - 1 - f), return_counts=True)  # highest frequency first
+        of = spectrum // most
+        made = [
+            _lists(np.repeat(np.arange(n), sizes), flat, n), words, pa.array(links),
+            _lists(of, pa.array((most - 1 - spectrum % most).astype(np.int32)), n), _lists(of, pa.array(k.astype(np.int32)), n),
+        ]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("row", "doc_id", "lang")), *made], [c.split(" ")[0] for c in _TERMS.split(", ")])
 
 
 def cut_posts(documents: DataFrame) -> DataFrame:
@@ -195,8 +221,6 @@ def _score(shared):
     """Per post: the best fitting language, its middle window's nearness to prose, and the histogram of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         models: Models = shared.value
         names = np.array([*models], object)
         logs = []
@@ -231,9 +255,7 @@ def _score(shared):
             before = np.concatenate([[0], upto])[starts]
             middle = near[order][np.searchsorted(upto, before + (upto[ends - 1] - before) / 2)]
             kept, n = np.unique(post * BINS + np.clip(((near - FLOOR) / -FLOOR * BINS).astype(np.int64), 0, BINS - 1), return_counts=True)
-            offsets = pa.array(np.searchsorted(kept, np.arange(len(sizes) + 1) * BINS).astype(np.int32))
-            bins = pa.ListArray.from_arrays(offsets, pa.array((kept % BINS).astype(np.int32)))
-            bin_n = pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))
+            bins, bin_n = (_lists(kept // BINS, pa.array(x.astype(np.int32)), len(sizes)) for x in (kept % BINS, n))
             made = {"best_lang": pa.array(names[best], pa.string()), "n": pa.array(sizes), "nearness": pa.array(middle), "bins": bins, "bin_n": bin_n}
             order_of = [f.split(" ")[0] for f in _SCORED.split(", ")]
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in order_of], order_of)
