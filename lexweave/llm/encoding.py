@@ -6,18 +6,23 @@ a source of its own:
 
 1. Letter bigrams of each language are counted over all its plain texts.
 2. Texts with characters outside their language's alphabet are suspects; of a wide script, which may hold garbled text
-   too, also texts that hide UTF-8 (a check of the row alone; what hides it isn't counted in 1). Under each swap a suspect
-   falls into units. The swaps of public code pages give starting keys; which of them are at work isn't known beforehand.
+   too, also texts that hide UTF-8 (a check of the row alone; what hides it isn't counted in 1). Under each listed swap a
+   suspect falls into units, and the starting key of the swap, from the public code pages, tells whether it may be at work.
 3. Unit bigrams of each source are counted over all its suspects, and expectation-maximisation fits P(unit | letter)
-   against the language's letter bigrams, with the starting key as a weak prior.
-4. Each suspect is translated with the keys so learned, twice if need be (text garbled twice), wholly or only where it
-   is garbled, and is taken as garbled if the translation is so much likelier as text of its language.
+   against the language's letter bigrams: from the starting key, which keeps the units that it has a letter for, or, for
+   the suspects of a language that no listed swap explains, from frequency ranks and from the keys of all other pages of a
+   byte a letter. Such an unknown source is learned as often as texts are left that yield one (at most PEELS times), so
+   that several unknown swaps of a language come out one by one.
+4. Each suspect is translated with the learned keys only, twice if need be (text garbled twice), wholly or only where it
+   is garbled, and is taken as garbled if the translation is so much likelier as text of its language. A unit that didn't
+   occur while a key was learned has the letter of the starting key, as EM leaves it without evidence.
 
 Text with U+FFFD has lost characters; it counts as garbled and is restored as far as its other characters allow.
 
-Everything is counted over all rows. The driver gets letter bigrams (alphabets of at most LETTERS letters for the ten
-known languages; of Chinese and Korean only single letters) and unit bigrams of the sources: their sizes don't depend
-on the number of rows. Counts are shuffled, and the words of forms once, to join their lexeme's language.
+Everything is counted over all rows. The driver gets letter bigrams of at most LETTERS letters for the ten known
+languages (of Chinese and Korean at most WIDE_LETTERS single letters), and of each source (languages times swaps) at most
+PAIRS bigrams of units, the most frequent ones; Spark cuts them before they are sent. Counts are shuffled,
+and the words of forms once, to join their lexeme's language.
 
 Null texts and empty ones are never garbled; equal rows are each judged alike; text in an unknown language is only
 held against U+FFFD.
@@ -28,26 +33,28 @@ from __future__ import annotations
 import codecs
 import math
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, ship, spread
+from .cipher import PLAIN, PUNCTUATION, Language, decipher, decipher_unknown
 
 #: Letters of an alphabet that take part in the bigrams, the most frequent ones.
-LETTERS = 600
+LETTERS = 256
+WIDE_LETTERS = 30_000
+#: Unit bigrams of a source from which its key is learned, the most frequent ones; unknown sources of a language.
+PAIRS, PEELS = 10_000, 3
 #: Of a language's letters, the share that makes a letter ordinary.
 ORDINARY = 1e-4
-#: Weight of the starting key, in occurrences of a unit.
-PRIOR = 10.0
-ROUNDS = 8
 #: By how much (natural log) the translation has to be likelier.
 MARGIN = 1.4
 
@@ -55,12 +62,9 @@ MARGIN = 1.4
 SCRIPTS = {"el": r"\p{IsGreek}", "he": r"\p{IsHebrew}", "ru": r"\p{IsCyrillic}", "uk": r"\p{IsCyrillic}", "zh": r"\p{IsHan}", "ko": r"\p{IsHangul}"}
 LATIN = ("en", "es", "aaa", "de", "fr")
 _LATIN_LETTERS = r"a-z\x{DF}-\x{F6}\x{F8}-\x{17F}\x{1E00}-\x{1EFF}"
-PUNCTUATION = "’‘“”–—…«»"
 _WIDE = ("zh", "ko")
 #: Languages of words of lexemes and forms.
 WORDS = ("el", "he", "aaa")
-#: Marks a unit as a plain letter.
-PLAIN = "\x00"
 
 # Code pages by what they are used for. The right page of a text is one of its language's, the wrong one
 # any of WRONG.
@@ -75,15 +79,14 @@ RIGHT = {
     "es": ("latin-1", "cp437", "mac_roman"),
     "en": ("cp1252", "cp437", "mac_roman"),
     "aaa": ("cp1257",),
+    "de": ("latin-1", "cp437", "mac_roman"),
+    "fr": ("latin-1", "cp437", "mac_roman"),
 }
 _DOUBLE = ("gbk", "big5", "cp949")
 #: Wrong pages of text garbled twice, the second time.
 TWICE = ("latin-1", "cp1252")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _HAN_HANGUL = re.compile(r"[\u3400-\u9fff\uac00-\ud7a3]")
-_MIXED = re.compile(r"[A-Za-z][^\W\d_A-Za-z]|[^\W\d_A-Za-z][A-Za-z]")
-_OOV = -11.0
-_MARK = -7.0
 
 
 @lru_cache(None)
@@ -183,12 +186,12 @@ class Swap:
             if d is None or wide and not _HAN_HANGUL.search(d):
                 out += [(c, False) for c in run]
             else:
-                out += [("" + c, True) for c in d]
+                out += [("\ue000" + c, True) for c in d]
         return out if any(k for _, k in out) else None
 
     def start(self, unit: str) -> str | None:
         """The letter of the starting key."""
-        if unit[0] == "":
+        if unit[0] == "\ue000":
             return unit[1]
         raw = _bytes(unit, self.wrong)
         try:
@@ -207,67 +210,6 @@ def page_differs(a: str, b: str) -> bool:
     return codecs.lookup(a).name != codecs.lookup(b).name
 
 
-@dataclass
-class Language:
-    """Letter bigrams of a language."""
-
-    letters: list[str]
-    log: np.ndarray  # log P(next | letter); index 0 is the edge of a word
-    joint: np.ndarray
-    index: dict[str, int] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.index = {c: i + 1 for i, c in enumerate(self.letters)}
-
-    def score(self, text: str) -> float:
-        """Log likelihood of text; signs inside are skipped at a price, unknown letters cost more."""
-        total, last, odd = 0.0, 0, False
-        for c in text.lower():
-            i = self.index.get(c)
-            if i is not None:
-                total += self.log[last, i]
-                last = i
-            elif c < "\x80" and not c.isalnum() and c >= " " or c in PUNCTUATION:
-                if last:
-                    total += self.log[last, 0]
-                last = 0
-            elif c < "\x80" and c.isalnum():
-                total += -4.0 if self.latin else -5.0
-                last = 0
-            elif c in "·" or c.isspace():
-                total += _MARK
-            else:
-                total += _OOV
-                odd = True
-                last = 0
-        if last:
-            total += self.log[last, 0]
-        return total - 2.0 * odd
-
-    def knows(self, text: str) -> bool:
-        """Whether text has only letters of the language, plain signs and, in a wide script, its other letters, and no
-        word of Latin and other letters."""
-        if not self.latin and _MIXED.search(text):
-            return False
-        return all(
-            c in self.index or "\x20" <= c < "\x7f" or c in PUNCTUATION or self.wide and ("\u3400" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3") for c in text.lower()
-        )
-
-    def gains_letters(self, text: str, plain: str) -> bool:
-        """Whether plain has letters of the language, and none of text became a sign."""
-        if len(text) == len(plain) and any(a in self.index and b not in self.index for a, b in zip(text.lower(), plain.lower())):
-            return False
-        return self.latin or self.wide or any(c in self.index for c in plain.lower())
-
-    @property
-    def wide(self) -> bool:
-        return "\u3400" <= self.letters[0] <= "\u9fff" or "\uac00" <= self.letters[0] <= "\ud7a3"
-
-    @property
-    def latin(self) -> bool:
-        return "e" in self.index
-
-
 def _training(lang: Column, text: Column) -> Column:
     """Whether a text is plain: only letters of its language's script (capitals first in a word for Latin), ASCII and
     common punctuation."""
@@ -310,29 +252,34 @@ def learn_languages(texts: DataFrame) -> dict[str, Language]:
     known = [*SCRIPTS, *LATIN]
     plain = texts.filter(F.col("lang").isin(known) & _training(F.col("lang"), F.col("text"))).select("lang", "text")
     counts = plain.mapInArrow(_count_letters, "lang string, pair long, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
-    out = {}
+    # The most frequent pairs (of wide scripts, letters): more than alphabets have.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "pair"))
+    rows = counts.withColumn("_r", rank).filter(F.col("_r") <= F.when(F.col("lang").isin(*_WIDE), WIDE_LETTERS).otherwise(LETTERS * LETTERS)).collect()
+    singles: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
     by_lang: dict[str, list] = defaultdict(list)
-    for lang, pair, n in counts.toPandas().itertuples(index=False):
-        by_lang[lang].append((pair, n))
-    for lang, rows in by_lang.items():
-        single: dict[str, float] = defaultdict(float)
-        for pair, n in rows:
-            second = pair & 0x1FFFFF if lang not in _WIDE else pair
-            if second:
-                single[chr(second)] += n
+    for r in rows:
+        if r.lang in _WIDE:
+            singles[r.lang][chr(r.pair)] += r.n
+            continue
+        a, b = r.pair >> 21, r.pair & 0x1FFFFF
+        by_lang[r.lang].append((chr(a) if a else "", chr(b) if b else "", r.n))
+        if b:
+            singles[r.lang][chr(b)] += r.n
+    out = {}
+    for lang, single in sorted(singles.items()):
         total = sum(single.values())
-        letters = [c for c, n in sorted(single.items(), key=lambda x: (-x[1], x[0])) if n >= total * ORDINARY / (20 if lang in _WIDE else 4)]
+        least = total * ORDINARY / (20 if lang in _WIDE else 4)
+        letters = sorted((c for c in single if single[c] >= least), key=lambda c: (-single[c], c))
         letters = letters if lang in _WIDE else letters[:LETTERS]
         index = {c: i + 1 for i, c in enumerate(letters)}
         k = len(letters) + 1
         if lang in _WIDE:  # single letters only; the same for every predecessor
             p = np.array([total / 3, *[single[c] for c in letters]]) / (total * 4 / 3)
-            out[lang] = Language(letters, np.broadcast_to(np.log(p), (k, k)), np.broadcast_to(p, (k, k)) * p[:, None])
+            out[lang] = Language(letters, np.log(p)[None, :])
             continue
         table = np.zeros((k, k))
-        for pair, n in rows:
-            a, b = pair >> 21, pair & 0x1FFFFF
-            i, j = (index.get(chr(x)) if x else 0 for x in (a, b))
+        for a, b, n in by_lang[lang]:
+            i, j = (index.get(c) if c else 0 for c in (a, b))
             if i is not None and j is not None:
                 table[i, j] += n
         share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * k)
@@ -359,9 +306,9 @@ def suspects(texts: DataFrame, languages: dict[str, Language], own: tuple[dict[s
         langs = heads.select("lexeme_no", F.col("lang").alias("_lang")).filter(F.col("_lang").isin(*words)).dropDuplicates(["lexeme_no"])
         joined = found.withColumn("_foreign", foreign).join(langs, "lexeme_no", "left")
         other = F.coalesce(F.array_contains("_foreign", F.col("_lang")), F.lit(False))
-        joined = joined.filter(F.col("sure") | other).withColumn("lang", F.when(F.col("sure"), F.col("lang")).otherwise(F.col("_lang")))
-        return joined.withColumn("sure", F.lit(True)).select(*found.columns)
-    return found.filter(F.col("sure") | (F.coalesce("lang", F.lit("")).isin(*_WIDE) & F.regexp_like("text", F.lit(r"\p{IsHan}"))))
+        joined = joined.filter(F.col("sure") | other).withColumn("lang", F.when(F.col("sure"), F.col("lang")).otherwise(F.col("_lang"))).withColumn("home", F.col("_lang"))
+        return joined.withColumn("sure", F.lit(True)).select(*found.columns, "home")
+    return found.withColumn("home", F.when(F.col("lang") != "*", F.col("lang"))).filter(F.col("sure") | (F.coalesce("lang", F.lit("")).isin(*_WIDE) & F.regexp_like("text", F.lit(r"\p{IsHan}"))))
 
 
 def _outside(model: Language) -> Column:
@@ -371,7 +318,9 @@ def _outside(model: Language) -> Column:
     return F.translate(F.col("text"), "".join(chr(i) for i in range(32, 127)) + PUNCTUATION + own, "") != ""
 
 
+#: Keys by language, right and wrong page; the pages of an unknown source are UNKNOWN and its number.
 Keys = dict[tuple[str, str, str], dict[str, str]]
+UNKNOWN = "unknown"
 
 
 class Cipher:
@@ -382,7 +331,10 @@ class Cipher:
         self.known: dict[str, str | None] = {}
         self.table: dict[int, str] | None = None
         self.chars: frozenset[str] = frozenset()
-        if swap.right not in _DOUBLE and swap.right != "utf-8":
+        if swap.right == UNKNOWN:
+            self.table = {ord(c): x for c, x in key.items()}
+            self.chars = frozenset(key) | frozenset(map(chr, range(128))) | frozenset(PUNCTUATION)
+        elif swap.right not in _DOUBLE and swap.right != "utf-8":
             high = {c for c in page(swap.wrong)[0]} | {chr(b) for b in range(128, 160)}
             letters = {c: self.letter(c) for c in high}
             self.table = {ord(c): x for c, x in letters.items() if x is not None}
@@ -424,11 +376,15 @@ class Cipher:
 
 
 class Reader:
-    """Judges texts by the languages and the keys of all sources."""
+    """Judges texts by the languages and the keys of all sources; without keys, by the starting keys of all swaps."""
 
-    def __init__(self, languages: dict[str, Language], keys: Keys):
+    def __init__(self, languages: dict[str, Language], keys: Keys | None = None):
         self.languages = languages
-        self.ciphers = {lang: [Cipher(s, keys.get((lang, s.right, s.wrong), {})) for s in swaps(lang)] for lang in languages}
+        if keys is None:
+            keys = {(lang, s.right, s.wrong): {} for lang in languages for s in swaps(lang)}
+        self.ciphers: dict[str, list[Cipher]] = {lang: [] for lang in languages}
+        for (lang, right, wrong), key in keys.items():
+            self.ciphers[lang].append(Cipher(Swap(right, wrong), key))
         self.again = {lang: [c for c in own if c.swap.right == "utf-8" and c.swap.wrong in TWICE] for lang, own in self.ciphers.items()}
 
     def translations(self, text: str, lang: str) -> Iterator[tuple[tuple[Swap, ...], str, str]]:
@@ -469,92 +425,154 @@ def _langs(lang: str | None) -> tuple[str, ...]:
     return WORDS if lang == "*" else (lang,) if lang else ()
 
 
+def likely_enciphered(text: str, lang: str, model: Language) -> bool:
+    """Whether a text may be a cipher of its language as a whole: it has letters or signs beyond ASCII, but, unless the
+    language is Latin, none of the language's own letters, and it isn't ordinary text in compatibility characters. In a
+    Latin language only what is beyond ASCII is of the cipher."""
+    if model.wide or lang == "aaa" or text.isascii() or "�" in text or model.knows(unicodedata.normalize("NFKC", text)):
+        return False
+    return model.latin or not any(c in model.index for c in text.lower())
+
+
 def _first_look(shared):
-    """Adds the likeliest translation by the starting keys: source (language, right and wrong page) and gain; without the
-    texts that hide no UTF-8 and aren't suspect otherwise."""
+    """Adds the source, that is language and swaps (right and wrong page each) of the likeliest translation by the starting
+    keys, else the language alone if the text may be an unknown cipher of it; without the texts that hide no UTF-8 and
+    aren't suspect otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value, {})
+        reader = Reader(shared.value)
+
+        def source(text: str, lang: str | None, home: str | None) -> list[str] | None:
+            found = reader.judge(text, _langs(lang))
+            if found is not None and found[0] >= MARGIN:
+                return [found[1], *(p for swap in found[3] for p in (swap.right, swap.wrong))]
+            model = reader.languages.get(home or "")
+            return [home] if model is not None and likely_enciphered(text, home, model) else None
+
         for batch in batches:
             kept = [sure or bool(hidden_utf8(text)) for sure, text in zip(batch.column("sure").to_pylist(), batch.column("text").to_pylist())]
-            batch = batch.filter(pa.array(kept, pa.bool_())).drop_columns(["sure"])
-            found = [reader.judge(text, _langs(lang)) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
-            source = [None if f is None else [f[1], f[3][0].right, f[3][0].wrong] if len(f[3]) == 1 and f[0] >= MARGIN else [] for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(source, pa.list_(pa.string()))], [*batch.schema.names, "source"])
+            batch = batch.filter(pa.array(kept, pa.bool_()))
+            sources = [source(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "home")))]
+            batch = batch.drop_columns(["sure", "home"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sources, pa.list_(pa.string()))], [*batch.schema.names, "source"])
 
     return run
 
 
-def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[tuple, int] = defaultdict(int)
-    for batch in batches:
-        for (lang, right, wrong), text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
-            last = ""
-            for unit, cipher in [*Swap(right, wrong).units(text), ("", True)]:
-                # Letters that the swap leaves alone are the context of the others.
-                unit = unit if cipher else PLAIN + unit.lower() if unit.isalpha() else ""
-                if last or unit:
-                    counts[lang, right, wrong, last, unit] += 1
-                last = unit
-    if counts:
-        cols = list(zip(*counts))
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(counts.values()), pa.int64())], ["lang", "right", "wrong", "a", "b", "n"])
-
-
-def decipher(pairs: list[tuple[str, str, int]], swap: Swap, model: Language, rounds: int = ROUNDS, prior: float = PRIOR) -> dict[str, str]:
-    """The key (unit to letter) of one source, by expectation-maximisation of its unit bigrams against the language's
-    letter bigrams. The empty unit is the edge of a word."""
-    units = sorted({u for a, b, _ in pairs for u in (a, b)} - {""})
-    if not units:
-        return {}
-    at = {u: i for i, u in enumerate(["", *units])}
-    k = len(model.letters) + 1
-    start = np.full((len(at), k), 0.02 / k)
-    start[0] = 0
-    start[:, 0] = 0
-    start[0, 0] = 1
-    first: dict[str, str] = {}
-    for u in units:
-        if u[0] == PLAIN:
-            start[at[u]] = 0
-            start[at[u], model.index.get(u[1:], 0)] = 1
-            continue
-        letter = swap.start(u)
-        first[u] = letter or ""
-        if letter and (i := model.index.get(letter.lower())):
-            start[at[u], i] += 1
-    a, b = (np.array([at[p[x]] for p in pairs]) for x in (0, 1))
-    n = np.array([p[2] for p in pairs], float)
-    emit = start / np.maximum(start.sum(0, keepdims=True), 1e-12)
-    for _ in range(rounds):
-        left, right = emit[a], emit[b]
-        pa_, pb = left * (right @ model.joint.T), right * (left @ model.joint)
-        expected = np.zeros_like(emit)
-        for which, post in ((a, pa_), (b, pb)):
-            z = post.sum(1, keepdims=True)
-            np.add.at(expected, which, np.where(z > 0, post / np.maximum(z, 1e-300), 0) * n[:, None])
-        weight = expected + prior * start
-        emit = weight / np.maximum(weight.sum(0, keepdims=True), 1e-12)
-    key = {}
-    for u in units:
-        if u[0] == PLAIN:
-            continue
-        i = int(weight[at[u]].argmax())
-        known = first[u] and model.index.get(first[u].lower())
-        if i and not (first[u] and not known):  # a unit that starts as a sign or unknown letter keeps it
-            key[u] = first[u] if known == i else model.letters[i - 1]
-    return key
+_UNITS = "lang string, right string, wrong string, a string, b string, n long"
 
 
-def learn_keys(suspect: DataFrame, languages: dict[str, Language]) -> Keys:
-    """The keys of all sources among the suspects (text, source)."""
-    # Units of single-byte pages and of alphabets in UTF-8; wide scripts have no bigrams to learn from.
-    clear = suspect.filter((F.size("source") == 3) & ~F.get("source", F.lit(0)).isin(*_WIDE)).select("source", "text")
-    counted = clear.mapInArrow(_count_units, "lang string, right string, wrong string, a string, b string, n long")
+def _batch_of(counts: dict[tuple, int]) -> pa.RecordBatch:
+    cols = list(zip(*counts))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(counts.values()), pa.int64())], ["lang", "right", "wrong", "a", "b", "n"])
+
+
+def _add_units(counts: dict[tuple, int], source: tuple[str, str, str], units: list[tuple[str, bool]]) -> None:
+    last = ""
+    for unit, cipher in [*units, ("", True)]:
+        # Letters that the swap leaves alone are the context of the others.
+        unit = unit if cipher else PLAIN + unit.lower() if unit.isalpha() else ""
+        if last or unit:
+            counts[*source, last, unit] += 1
+        last = unit
+
+
+#: Bigrams that a task holds before it passes them on.
+_HELD = 200_000
+
+
+def _unknown_units(text: str, model: Language) -> list[tuple[str, bool]]:
+    """Characters as units of an unknown cipher: all beyond ASCII but punctuation; ASCII letters only are context in Latin
+    languages, else signs."""
+    return [(c, True) if c > "\x7f" and c not in PUNCTUATION else (c if model.latin else " ", False) for c in text]
+
+
+def _count_units(shared):
+    """Unit bigrams of the sources (of wide scripts, which have no bigrams to learn from, only that a source is at work), and
+    those of the texts that may be ciphers of their language but aren't read by the unknown keys learned so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, unknown = shared.value
+        reader = Reader(languages, unknown)
+        starts: dict[tuple[str, str, str], Cipher] = {}
+        counts: dict[tuple, int] = defaultdict(int)
+        for batch in batches:
+            for (lang, *path), text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
+                if not path:
+                    read = reader.judge(text, (lang,)) if unknown else None
+                    if read is None or read[0] < MARGIN:
+                        _add_units(counts, (lang, UNKNOWN, ""), _unknown_units(text, languages[lang]))
+                for right, wrong in zip(path[::2], path[1::2]):
+                    key = (lang, right, wrong)
+                    if lang in _WIDE:
+                        counts[*key, "", ""] += 1
+                    else:
+                        _add_units(counts, key, Swap(right, wrong).units(text) or [])
+                    if len(path) > 2:  # garbled twice: the second swap's units are in the first one's translation
+                        if key not in starts:
+                            starts[key] = Cipher(Swap(right, wrong), {})
+                        text = (starts[key].translate(text, frozenset(text)) or (text,))[0]
+            if len(counts) > _HELD:
+                yield _batch_of(counts)
+                counts.clear()
+        if counts:
+            yield _batch_of(counts)
+
+    return run
+
+
+def _collect_units(counted: DataFrame) -> dict[tuple[str, str, str], list[tuple[str, str, int]]]:
+    """The most frequent bigrams of each source."""
+    at = ["lang", "right", "wrong"]
+    summed = counted.groupBy(*at, "a", "b").agg(F.sum("n").alias("n"))
+    ranked = summed.withColumn("_r", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("n"), "a", "b")))
     sources: dict[tuple[str, str, str], list] = defaultdict(list)
-    for r in counted.groupBy("lang", "right", "wrong", "a", "b").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
+    for r in ranked.filter(F.col("_r") <= PAIRS).collect():
         sources[r.lang, r.right, r.wrong].append((r.a, r.b, r.n))
-    return {s: decipher(sorted(p), Swap(s[1], s[2]), languages[s[0]]) for s, p in sources.items()}
+    return dict(sorted(sources.items()))
+
+
+def learn_keys(suspect: DataFrame, languages: dict[str, Language]) -> Keys:
+    """The keys of all sources among the suspects (text, source), with those of unknown ones."""
+    left = suspect.filter("source is not null").select("source", "text")
+    keys: Keys = {}
+    unknown: Keys = {}
+    for peel in range(PEELS):
+        counted = _collect_units(left.mapInArrow(_count_units(ship(suspect.sparkSession, (languages, unknown))), _UNITS))
+        found: Keys = {}
+        for (lang, right, wrong), pairs in counted.items():
+            if right != UNKNOWN:
+                keys[lang, right, wrong] = {} if lang in _WIDE else decipher(sorted(pairs), Swap(right, wrong), languages[lang])
+            elif key := decipher_unknown(sorted(pairs), languages[lang], page_keys(lang)):
+                found[lang, UNKNOWN, str(peel)] = key
+        if not found:
+            break
+        unknown |= found
+        left = left.filter(F.size("source") == 1)
+    return keys | unknown
+
+
+@lru_cache(1)
+def all_pages() -> tuple[str, ...]:
+    """The single-byte code pages that Python knows and that hold ASCII, as candidates for the pages of an unknown source."""
+    import encodings
+    import importlib
+    import pkgutil
+
+    out = {tuple(page("latin-1")[1]): "latin-1"}
+    for name in sorted(m.name for m in pkgutil.iter_modules(encodings.__path__) if m.name not in ("mbcs", "oem")):
+        table = getattr(importlib.import_module(f"encodings.{name}"), "decoding_table", None)
+        if isinstance(table, str) and table[32:127] == bytes(range(32, 127)).decode():
+            out.setdefault(tuple(page(name)[1]), name)
+    return tuple(sorted(out.values()))
+
+
+@lru_cache(16)
+def page_keys(lang: str) -> list[dict[str, str]]:
+    """Keys of all pairs of single-byte pages of which the right one has the language's letters."""
+    script = {"el": "α", "he": "א", "ru": "б", "uk": "є"}.get(lang, "ñ" if lang == "es" else "é")
+    right = [p for p in all_pages() if script in page(p)[0]]
+    return [{chars: plain for chars, plain in zip(page(w)[1][128:], page(r)[1][128:]) if chars > "\x7f"} for r in right for w in all_pages() if r != w]
 
 
 def _judge_all(shared):
@@ -596,11 +614,11 @@ def judged_with(texts: DataFrame, languages: dict[str, Language], all_suspects:
     words = {k: languages[k] for k in WORDS if k in languages}
     found = suspects(named, languages)
     if all_suspects:
-        found = texts.withColumn("sure", F.lit(True))
+        found = texts.withColumn("sure", F.lit(True)).withColumn("home", F.lit(None).cast("string"))
     elif words:
         every = sorted({c for m in words.values() for c in m.letters})
-        found = found.unionByName(suspects(starred, {"*": Language(every, np.zeros((1, 1)), np.zeros((1, 1)))}, None if heads is None else (words, heads)))
-    looked = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.drop("sure").schema.fields) + ", source array<string>"
+        found = found.unionByName(suspects(starred, {"*": Language(every, np.zeros((1, 1)))}, None if heads is None else (words, heads)))
+    looked = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.drop("sure", "home").schema.fields) + ", source array<string>"
     suspect = durable(found.mapInArrow(_first_look(ship(texts.sparkSession, languages)), looked))
     keys = learn_keys(suspect, languages)
     shared = ship(texts.sparkSession, (languages, keys))
