@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import glosses as G
 from ..functions import greek
-from ..session import durable
+from ..session import durable, spread
 from . import index
+from .joins import key_counts, split_join
 
 MIN_UID = 100_000
 
@@ -23,15 +24,22 @@ def first_wins(lexemes: DataFrame) -> DataFrame:
     return lexemes.join(kept, "lexeme_no", "left_semi")
 
 
-def forms_of(forms: DataFrame, lexemes: DataFrame) -> DataFrame:
-    """Forms whose lexeme is kept; forms without a word are left out."""
-    return forms.filter("word is not null and word != ''").join(lexemes.select("lexeme_no"), "lexeme_no", "left_semi")
+def _own(lexemes: DataFrame) -> DataFrame:
+    return lexemes.select("lexeme_no", F.col("word").alias("lexeme_word"), F.col("glosses").alias("lexeme_glosses"))
+
+
+def forms_with(forms: DataFrame, lexemes: DataFrame) -> DataFrame:
+    """Forms whose lexeme is kept, with what ranking and fallback need of it, and _first, the number of its first form;
+    forms without a word are left out. A lexeme may have any part of all forms."""
+    kept = forms.filter("word is not null and word != ''")
+    counts = key_counts(kept, "lexeme_no", F.min("form_no").alias("_first"))
+    heads = _own(lexemes).join(counts.select("lexeme_no", "_first"), "lexeme_no")
+    return split_join(kept, heads, "lexeme_no", ["form_no"], counts=counts)
 
 
 def with_lexeme(forms: DataFrame, lexemes: DataFrame) -> DataFrame:
     """Forms with what ranking and fallback need of their lexeme, which may be missing."""
-    own = lexemes.select("lexeme_no", F.col("word").alias("lexeme_word"), F.col("glosses").alias("lexeme_glosses"))
-    return forms.join(own, "lexeme_no", "left")
+    return split_join(forms, _own(lexemes), "lexeme_no", ["form_no"], "left")
 
 
 def effective_entries(lang: str) -> Column:
@@ -43,30 +51,36 @@ def _ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def gloss_tokens(forms: DataFrame, lang: str = "en") -> DataFrame:
-    """(lexeme_no, form_no, token): the tokens under which forms are found by gloss.
+def gloss_tokens(forms: DataFrame, lang: str = "en", carry: tuple[str, ...] = (), marked: bool = False) -> DataFrame:
+    """(lexeme_no, form_no, token, carry...): the tokens under which forms are found by gloss.
 
     A lexeme's first form (with its lexeme's glosses if it has none) gives all its tokens in ASCII lower case, repeats
     included. The other forms give each token of their own glosses once a lexeme, as written, if the first form has
-    none that is equal. Stopwords only count where they are a whole entry.
-    """
-    first = forms.groupBy("lexeme_no").agg(F.min("form_no").alias("_first"))
-    marked = forms.join(first, "lexeme_no")
-    entry = marked.filter("form_no = _first").select("lexeme_no", "form_no", F.explode(effective_entries(lang)).alias("entry"))
-    token = entry.select("lexeme_no", "form_no", "entry", F.explode(G.tokens("entry")).alias("token"))
-    primary = token.filter(G.keep_gloss_token(_ascii_lower(F.col("token")), F.col("entry"))).select("lexeme_no", "form_no", _ascii_lower(F.col("token")).alias("token"))
+    none that is equal. Stopwords only count where they are a whole entry. Forms that are marked have the number of the
+    first form in _first; else it is found among the forms given.
 
+    One aggregation by lexeme and token, combined before the shuffle, finds both: a token of the first form counts its
+    repeats, another one keeps its first place.
+    """
+    if not marked:
+        counts = key_counts(forms, "lexeme_no", F.min("form_no").alias("_first"))
+        forms = split_join(forms.drop("_first"), counts.drop("n"), "lexeme_no", ["form_no"], counts=counts)
+    primary = F.col("form_no") == F.col("_first")
     own = F.flatten(F.transform(F.filter("glosses", lambda g: g["lang"] == lang), lambda g: g["entries"]))
-    other = marked.filter("form_no != _first").select("lexeme_no", "form_no", F.posexplode(own).alias("i", "entry"))
-    other = other.select("lexeme_no", "form_no", "i", "entry", F.posexplode(G.tokens("entry")).alias("j", "token")).filter(G.keep_gloss_token(F.col("token"), F.col("entry")))
-    once = other.groupBy("lexeme_no", "token").agg(F.min(F.struct("form_no", "i", "j")).alias("at")).select("lexeme_no", F.col("at.form_no").alias("form_no"), "token")
-    fresh = once.join(primary.select("lexeme_no", "token").distinct(), ["lexeme_no", "token"], "left_anti")
-    return primary.unionByName(fresh.select("lexeme_no", "form_no", "token"))
+    kept = ("lexeme_no", "form_no", *carry)
+    entry = forms.select(*kept, primary.alias("_primary"), F.posexplode(F.when(primary, effective_entries(lang)).otherwise(own)).alias("_i", "_entry"))
+    token = entry.select(*kept, "_primary", "_i", "_entry", F.posexplode(G.tokens("_entry")).alias("_j", "_token"))
+    spelled = token.withColumn("_token", F.when(F.col("_primary"), _ascii_lower(F.col("_token"))).otherwise(F.col("_token")))
+    usable = spelled.filter(G.keep_gloss_token(F.col("_token"), F.col("_entry")))
+    place = F.struct((~F.col("_primary")).alias("_other"), "form_no", "_i", "_j", *carry)
+    once = usable.groupBy("lexeme_no", F.col("_token").alias("token")).agg(F.min(place).alias("_at"), F.sum(F.col("_primary").cast("long")).alias("_repeats"))
+    rows = once.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), "_repeats"))))
+    return rows.select("lexeme_no", F.col("_at.form_no").alias("form_no"), "token", *[F.col(f"_at.{c}").alias(c) for c in carry])
 
 
-def transliterations(forms: DataFrame) -> DataFrame:
-    """(lexeme_no, form_no, token): forms under their Latin spelling; those without any are left out."""
-    return forms.select("lexeme_no", "form_no", greek.transliterated("word").alias("token")).filter("token != ''")
+def transliterations(forms: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(lexeme_no, form_no, token, carry...): forms under their Latin spelling; those without any are left out."""
+    return forms.select("lexeme_no", "form_no", greek.transliterated("word").alias("token"), *carry).filter("token != ''")
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -102,17 +116,17 @@ class Lexicon:
 
     @cached_property
     def lexemes(self) -> DataFrame:
-        return first_wins(self.lexemes_all)
+        return first_wins(spread(self.lexemes_all))
 
     @cached_property
     def forms(self) -> DataFrame:
-        return index.form_rank_columns(with_lexeme(forms_of(self.forms_all, self.lexemes), self.lexemes))
+        return index.form_rank_columns(forms_with(spread(self.forms_all), self.lexemes))
 
     def written(self) -> Lexicon:
         """The same lexicon with its lexemes and forms written once, for work that uses them several times."""
         out = Lexicon(self.lexemes_all, self.forms_all)
         out.__dict__["lexemes"] = durable(self.lexemes)
-        out.__dict__["forms"] = durable(index.form_rank_columns(with_lexeme(forms_of(self.forms_all, out.lexemes), out.lexemes)))
+        out.__dict__["forms"] = durable(index.form_rank_columns(forms_with(spread(self.forms_all), out.lexemes)))
         return out
 
     @cached_property
@@ -126,12 +140,10 @@ class Lexicon:
 
     @cached_property
     def by_transliteration(self) -> DataFrame:
-        return index.postings(self._with_tokens(transliterations(self.forms)), index.GLOSS_SPEC)
+        return index.postings(transliterations(self.forms, index.FORM_CARRY), index.GLOSS_SPEC)
 
     @cached_property
     def by_gloss(self) -> DataFrame:
         """Gloss tokens and, as they are looked up together, transliterations."""
-        return index.postings(self._with_tokens(gloss_tokens(self.forms).unionByName(transliterations(self.forms))), index.GLOSS_SPEC)
-
-    def _with_tokens(self, tokens: DataFrame) -> DataFrame:
-        return tokens.join(self.forms.select("lexeme_no", "form_no", *index.FORM_CARRY), ["lexeme_no", "form_no"])
+        tokens = gloss_tokens(self.forms, carry=index.FORM_CARRY, marked=True)
+        return index.postings(tokens.unionByName(transliterations(self.forms, index.FORM_CARRY)), index.GLOSS_SPEC)

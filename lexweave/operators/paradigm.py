@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import morphology as M
+from .joins import dealt, key_counts, repeated, split_join, with_parts
 
 # The parsings, in order, of which the first that occurs is a lexeme's primary form.
 PRIMARY = {2: "V-PAI-1S V-PEI-1S V-PMI-1S V-PPI-1S V-FAI-1S V-AAI-1S V-IAI-1S".split(), 3: "N-NSM N-NSF N-NSN".split(), 4: "A-NSM A-NSF A-NSN".split()}
@@ -19,18 +20,23 @@ def form_by_parsing(forms: DataFrame, wanted: DataFrame) -> DataFrame:
     glosses over one without, else the one with fewer references; a later one must be strictly better. So the choice
     starts at the last preferred form (or the first), and of that and the later ones, those with glosses if there are
     any, the first with the fewest references stands at the end. That takes minima and maxima only, which combine before
-    the shuffle: a lexeme may have any number of forms.
+    the shuffle; where forms meet what was found of their lexeme, a large lexeme is dealt to several tasks: it may have any
+    number of forms.
     """
     at = ["lexeme_no", "parsing"]
-    keys = wanted.select(*at).distinct()
-    hits = forms.select(*at, "form_no", F.coalesce("preferred", F.lit(False)).alias("preferred"), (F.col("n_glosses") > 0).alias("glossed"), "n_refs").join(keys, at)
-    start = hits.groupBy(*at).agg(F.min("form_no").alias("_start"))
-    other = forms.select("lexeme_no", F.col("parsing").alias("_other"), F.col("form_no").alias("_no"))
-    end = other.join(start, "lexeme_no").filter((F.col("_no") > F.col("_start")) & ~F.col("_other").eqNullSafe(F.col("parsing"))).groupBy(*at).agg(F.min("_no").alias("_end"))
-    run = hits.join(end, at, "left").filter(F.col("_end").isNull() | (F.col("form_no") < F.col("_end")))
-    base = run.groupBy(*at).agg(F.coalesce(F.max(F.when(F.col("preferred"), F.col("form_no"))), F.min("form_no")).alias("_base"))
+    counts = key_counts(forms, "lexeme_no")
+    marked = dealt(with_parts(forms, counts), ["form_no"])
+    parts = F.max("_parts").alias("_parts")
+    keys = repeated(with_parts(wanted.select(*at).distinct(), counts))
+    hits = marked.select(*at, "form_no", F.coalesce("preferred", F.lit(False)).alias("preferred"), (F.col("n_glosses") > 0).alias("glossed"), "n_refs", "_parts", "_salt").join(keys, [*at, "_salt"])
+    start = repeated(hits.groupBy(*at).agg(F.min("form_no").alias("_start"), parts))
+    other = marked.select("lexeme_no", "_salt", "_parts", F.col("parsing").alias("_other"), F.col("form_no").alias("_no"))
+    later = other.join(start, ["lexeme_no", "_salt"]).filter((F.col("_no") > F.col("_start")) & ~F.col("_other").eqNullSafe(F.col("parsing")))
+    end = repeated(later.groupBy(*at).agg(F.min("_no").alias("_end"), parts))
+    run = hits.join(end, [*at, "_salt"], "left").filter(F.col("_end").isNull() | (F.col("form_no") < F.col("_end")))
+    base = repeated(run.groupBy(*at).agg(F.coalesce(F.max(F.when(F.col("preferred"), F.col("form_no"))), F.min("form_no")).alias("_base"), parts))
     best = F.min(F.struct("n_refs", "form_no"))
-    chosen = run.join(base, at).filter("form_no >= _base").groupBy(*at, "glossed").agg(best.alias("best")).groupBy(*at).agg(F.max_by("best.form_no", "glossed").alias("form_no"))
+    chosen = run.join(base, [*at, "_salt"]).filter("form_no >= _base").groupBy(*at, "glossed").agg(best.alias("best")).groupBy(*at).agg(F.max_by("best.form_no", "glossed").alias("form_no"))
     return wanted.join(chosen, at)
 
 
@@ -104,7 +110,7 @@ def panel_cells(lexemes: DataFrame, forms: DataFrame) -> DataFrame:
     kind = F.when(pos == 2, "verb").when((pos == 3) | ((pos == 7) & ~indeclinable), "noun").when(pos == 13, "pronoun").when(pos == 4, "adjective")
     kinds = lexemes.select("lexeme_no", kind.alias("kind")).filter("kind is not null")
     f = lambda n: M.field("parsing", n)
-    cells = forms.join(kinds, "lexeme_no").select(
+    cells = split_join(forms, kinds, "lexeme_no", ["form_no"]).select(
         "lexeme_no", "kind", "form_no", "word", f("pos").alias("pos"), f("tense").alias("tense"), f("mood").alias("mood"), f("person").alias("person"),
         f("number").alias("number"), f("case").alias("case"), f("gender").alias("slot_gender"), f("voice").alias("_v"),
     )

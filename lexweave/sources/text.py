@@ -10,7 +10,9 @@ from ..functions import greek
 from ..functions import lexicon_fields as fields
 from ..functions import morphology as M
 from ..functions import references as R
-from .lines import FORM_FIELDS, LEXEME_FIELDS, _with_lexeme_line
+from ..operators.joins import key_counts, split_join
+from ..session import durable
+from .lines import BLOCK_LINES, FORM_FIELDS, LEXEME_FIELDS, _with_lexeme_line
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,9 +36,9 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     lexeme's place over all files (file, then line), form_no the form's place in its lexeme."""
     kept = lines.filter(F.regexp_like("line", F.lit(r"[^ \t\r]")))
     # White space before the first line of a file doesn't indent it.
-    start = kept.groupBy("file_name").agg(F.min("line_no").alias("_start"))
+    counts = key_counts(kept, "file_name", F.min("line_no").alias("_start"))
     indented = F.regexp_like("line", F.lit("^[ \\t]"))
-    split = kept.join(start, "file_name").select("file_name", "line_no", (indented & (F.col("line_no") != F.col("_start"))).alias("is_form"), F.split(F.regexp_replace("line", r"^[ \t]+|\r\z", ""), r"\|", -1).alias("fields"))
+    split = split_join(kept, counts.drop("n"), "file_name", ["line_no"], counts=counts).select("file_name", "line_no", (indented & (F.col("line_no") != F.col("_start"))).alias("is_form"), F.split(F.regexp_replace("line", r"^[ \t]+|\r\z", ""), r"\|", -1).alias("fields"))
     placed = _with_lexeme_line(split)
     f = _field
     first_error = lambda *pairs: F.coalesce(*[F.when(bad, F.lit(name)) for bad, name in pairs])
@@ -79,15 +81,25 @@ def read_lexicon(spark: SparkSession, path: str, mode: str = "FAILFAST") -> tupl
         checked = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("error"), F.lit(" in line: "), F.col("word")))).otherwise(F.col("error"))
         lexemes, forms = lexemes.withColumn("error", checked), forms.withColumn("error", checked)
     # Numbers follow the sorted rows; written once, so that they are the same for lexemes and forms.
-    from ..session import durable
-
     lexemes = durable(lexemes)
     keys = lexemes.select("file_name", F.col("line_no").alias("lexeme_line"), "lexeme_no")
-    order = Window.partitionBy("lexeme_no").orderBy("line_no")
-    forms = forms.join(keys, ["file_name", "lexeme_line"], "left").withColumn("form_no", F.row_number().over(order))
+    numbered = _number_forms(forms)
+    forms = split_join(numbered, keys, ["file_name", "lexeme_line"], ["line_no"], "left")
     return lexemes.drop("file_name", "line_no"), forms.drop("file_name", "line_no", "lexeme_line")
 
 
+def _number_forms(forms: DataFrame) -> DataFrame:
+    """Adds form_no, the place of a form among those of its lexeme line. A lexeme's forms are numbered in blocks of lines,
+    and each block starts after those before (one row a block), so that a lexeme may have any number of forms."""
+    own = ["file_name", F.coalesce("lexeme_line", F.lit(-1)).alias("_own"), F.floor(F.col("line_no") / BLOCK_LINES).alias("_block")]
+    blocks = forms.groupBy(*own).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file_name", "_own").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file_name", "_own", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("file_name", "_own", "_block").orderBy("line_no"))
+    placed = forms.select("*", *own[1:]).withColumn("_inside", inside).join(starts, ["file_name", "_own", "_block"])
+    return placed.withColumn("form_no", (F.col("_before") + F.col("_inside")).cast("int")).drop("_own", "_block", "_before", "_inside")
+
+
 def lexeme_line(pos_label: Column | None = None) -> Column:
     c = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     labels = {code: M.english_label(code, spaced=False) for code in range(30)}
@@ -113,7 +125,7 @@ def text_lines(lexemes: DataFrame, forms: DataFrame, only_glossed: bool = False)
     keyed = kept.withColumns({"_key": greek.sort_key("word"), "_g": F.greatest(F.coalesce(F.size("glosses"), F.lit(0)), F.lit(0))})
     heads = keyed.select("_key", F.col("word").alias("_word"), "_g", "lexeme_no", F.lit(0).alias("_form"), lexeme_line().alias("line"))
     places = keyed.select("lexeme_no", "_key", F.col("word").alias("_word"), "_g")
-    tails = forms.join(places, "lexeme_no").select("_key", "_word", "_g", "lexeme_no", F.col("form_no").alias("_form"), form_line().alias("line"))
+    tails = split_join(forms, places, "lexeme_no", ["form_no"]).select("_key", "_word", "_g", "lexeme_no", F.col("form_no").alias("_form"), form_line().alias("line"))
     return heads.unionByName(tails).orderBy("_key", "_word", "_g", "lexeme_no", "_form").select("line")
 
 
