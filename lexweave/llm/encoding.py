@@ -45,6 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import key_counts, split_join
 from ..session import durable, ship, spread
 from .cipher import PLAIN, PUNCTUATION, Language, decipher, decipher_unknown
 
@@ -303,8 +304,8 @@ def suspects(texts: DataFrame, languages: dict[str, Language], own: tuple[dict[s
     if own is not None:  # also with letters foreign to the lexeme's language
         words, heads = own
         foreign = F.array(*[F.when(_outside(model), lang) for lang, model in words.items()])
-        langs = heads.select("lexeme_no", F.col("lang").alias("_lang")).filter(F.col("_lang").isin(*words)).dropDuplicates(["lexeme_no"])
-        joined = found.withColumn("_foreign", foreign).join(langs, "lexeme_no", "left")
+        langs = heads.filter(F.col("lang").isin(*words)).groupBy("lexeme_no").agg(F.min("lang").alias("_lang"))
+        joined = split_join(found.withColumn("_foreign", foreign), langs, "lexeme_no", ["form_no", "text"], "left", key_counts(texts.select("lexeme_no"), "lexeme_no"))
         other = F.coalesce(F.array_contains("_foreign", F.col("_lang")), F.lit(False))
         joined = joined.filter(F.col("sure") | other).withColumn("lang", F.when(F.col("sure"), F.col("lang")).otherwise(F.col("_lang"))).withColumn("home", F.col("_lang"))
         return joined.withColumn("sure", F.lit(True)).select(*found.columns, "home")
