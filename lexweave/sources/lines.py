@@ -16,19 +16,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon_fields as fields
+from ..operators.joins import split_join
 
 LEXEME_FIELDS = ("word", "lang", "uid", "pos", "article", "genitive_suffix", "strongs", "root", "glosses", "adjective", "tags", "note")
 FORM_FIELDS = ("word", "parsing", "preferred", "uid", "glosses", "refs")
 #: Lines of one file that a task orders at once.
 BLOCK_LINES = 50_000
 MAX_WORD_BYTES = 499
+#: Valid tags up to this number are broadcast; more are joined by their text.
+BROADCAST_TAGS = 100_000
 
 # A field is quoted or holds no quote; possessive, so that long lines need no stack.
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^"|]*+)'
 _WELL_QUOTED = rf"^{_FIELD}(?:\|{_FIELD})*+\z"
 _EACH = rf"\|({_FIELD})"
-# Also more fields than any record has: the reader gives up on lines of very many, and their count is wrong anyway.
-_ODD = rf'["\n\r\u0000]|^(?:[^|]*+\|){{{len(LEXEME_FIELDS)}}}'
+# Characters that the reader reads otherwise than as they stand (its end mark and null value among them); also more fields
+# than any record has: the reader gives up on lines of very many, and their count is wrong anyway.
+_ODD = rf'["\n\r\u0000\u0001\x{{FFFF}}]|^(?:[^|]*+\|){{{len(LEXEME_FIELDS)}}}'
 _OPTIONS = {"sep": "|", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "raw", "maxCharsPerColumn": "-1", "nullValue": "\u0001", "emptyValue": ""}
 
 
@@ -46,7 +50,7 @@ def _split(body: Column) -> Column:
 
 def classify_lines(lines: DataFrame, tags: DataFrame) -> DataFrame:
     """lines with is_form, fields (array of the line's fields, null if its quoting is broken), packed and reasons (empty
-    if the line is valid). tags (tag, packed) is the fixed list of valid tags, some thousand rows, and is broadcast."""
+    if the line is valid). tags (tag, packed) is the list of valid tags; where it is small, as it is, it is broadcast."""
     kept = lines.filter(F.regexp_like(F.coalesce("line", F.lit("")), F.lit(r"[^ \t]")))
     is_form = F.regexp_like("line", F.lit(r"^[ \t]"))
     body = F.when(is_form, F.regexp_replace("line", r"^[ \t]+", "")).otherwise(F.col("line"))
@@ -77,9 +81,11 @@ def classify_lines(lines: DataFrame, tags: DataFrame) -> DataFrame:
         lambda p: ~fields.is_u16(p, 1),
     )
     tag = F.when(F.col("is_form") & usable, F.upper(F.get("fields", F.lit(1))))
-    known = F.broadcast(tags.select(F.col("tag").alias("_tag"), F.col("packed").alias("_packed")).filter("tag is not null").dropDuplicates(["_tag"]))
-    joined = read.withColumn("_key", tag).join(known, F.col("_key") == F.col("_tag"), "left")
-    bad_tag = F.col("is_form") & (F.col("_key") != "") & F.col("_tag").isNull()
+    known = tags.filter("tag is not null").groupBy(F.col("tag").alias("_key")).agg(F.min("packed").alias("_packed"), F.lit(True).alias("_known"))
+    keyed = read.withColumn("_key", tag)
+    small = tags.limit(BROADCAST_TAGS + 1).count() <= BROADCAST_TAGS
+    joined = keyed.join(F.broadcast(known), "_key", "left") if small else split_join(keyed, known, "_key", ["line_id"], "left")
+    bad_tag = F.col("is_form") & (F.col("_key") != "") & F.col("_known").isNull()
     reasons = F.filter(
         F.array(
             F.when(quoting, "quoting"),

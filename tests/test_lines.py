@@ -51,6 +51,26 @@ def test_lines_of_very_many_fields(spark):
     assert got == {(i, "columns") for i in range(2, 7)}
 
 
+def test_no_character_shortens_a_line(spark):
+    """Any character of the basic plane, in the first and in the last field, loads as it stands."""
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c) not in '|"']
+    rows = [(i, "f", i, f"w{c}w|N-NSM|yes|1||r{c}s" if k else f"w{c}w|el|1|Noun|ὁ||||||t|{c}") for i, (c, k) in enumerate((c, k) for c in chars for k in (0, 1))]
+    lines = spark.createDataFrame([(i, f, n, "  " + t if i % 2 else t) for i, f, n, t in rows], "line_id long, file_name string, line_no int, line string")
+    got = {r.line_id: r.fields for r in L.classify_lines(lines, spark.createDataFrame([("N-NSM", 42)], "tag string, packed int")).collect()}
+    assert [t for i, _, _, t in rows if got[i] != t.split("|")] == []
+
+
+def test_many_tags_are_joined(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, "f", 1, "  a|N-NSM|||  |"), (2, "f", 2, "  a|N-XXX||||"), (3, "f", 3, "  a|||||"), (4, "f", 4, "a" + "|" * 11)], "line_id long, file_name string, line_no int, line string")
+    tags = spark.createDataFrame([("N-NSM", 42), ("N-NSF", 43)], "tag string, packed int")
+    def seen():
+        return {(r.line_id, r.packed, tuple(r.reasons)) for r in L.classify_lines(lines, tags).collect()}
+
+    small = seen()
+    monkeypatch.setattr(L, "BROADCAST_TAGS", 1)
+    assert seen() == small == {(1, 42, ()), (2, 0, ("parsing",)), (3, 0, ()), (4, None, ())}
+
+
 def test_quoted_fields(classified):
     rows = {r.line_id: r.fields for r in classified.select("line_id", "fields").collect()}
     assert rows[3] == ["λέων", "N-NSM", "yes", "1", "", "a|b"]
