@@ -4,15 +4,16 @@
 2. The mix is as large as the shares and repeats allow: no source may need more than max_repeats times its tokens. Its
    size in blocks is dealt to the sources by highest quotients, and each source's blocks to its shards likewise, so every
    shard gets an integer quota.
-3. In a shard, posts are taken in seeded order until the quota is full, after as many whole passes as it holds.
+3. In a shard, posts are taken in seeded order, after as many whole passes as the quota holds, each that still fits, so
+   that in the end none is left that would.
 
 Shares are reached up to a block, and in each shard up to a gap that no post of it fits. Sources of posts without a target, or with share 0, are
-left out; a target without posts can't be met: the shares of the others are scaled up. A null max_repeats is 1. A post
-without tokens (null or empty text) or without source is in no mix. Equal hashes are ordered by doc_id; repeated rows
-are posts of their own. An empty table gives an empty mix.
+left out; a target without posts can't be met: the shares of the others are scaled up. A null max_repeats is 1. Of targets of
+one source the largest share counts, then the most repeats. A post without tokens (null or empty text) or without source is
+in no mix. Equal hashes are ordered by doc_id; repeated rows are posts of their own. An empty table gives an empty mix.
 
-The driver gets one sum for each source and shard, at most SHARDS for each of at most MAX_SOURCES sources of the target
-table, whatever the number of posts; the plan of the same size is broadcast.
+The driver gets the target table and one sum for each of its sources. Shards are planned in tasks, a source in each (at most
+SHARDS rows); posts of a shard are sorted by Spark and read as a stream, so that a shard may hold any number.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, spread
@@ -31,9 +33,6 @@ BLOCK_TOKENS = 2048
 #: Shards of a source at most; fewer are used while a shard would hold less than SHARD_BLOCKS blocks on average.
 SHARDS = 4096
 SHARD_BLOCKS = 512
-MAX_SOURCES = 1000
-#: Rounds in which posts are put into what is left of a shard's quota.
-FILLS = 3
 
 
 def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | None = None) -> list[int]:
@@ -86,70 +85,86 @@ def _count(path: str):
     return run
 
 
-def plan(sums: list[tuple[str, int, int]], targets: list[tuple[str, float, int]], block: int = BLOCK_TOKENS, total: int | None = None) -> tuple[int, list[tuple[str, int, int, int]]]:
-    """sums (source, fine shard, tokens) and targets (source, share, repeats) to (shards, [(source, shard, whole passes,
-    tokens of the last pass)])."""
-    tokens: dict[str, int] = {}
-    for source, _, n in sums:
-        tokens[source] = tokens.get(source, 0) + n
+Target = tuple[str, float, int]
+
+
+def plan_sources(tokens: dict[str, int], targets: list[Target], block: int = BLOCK_TOKENS, total: int | None = None) -> tuple[int, list[tuple[str, int, int]]]:
+    """Tokens by source and targets (source, share, repeats) to (shards, [(source, blocks, repeats)])."""
     live = [(s, share, max(1, int(r or 1))) for s, share, r in targets if share and share > 0 and tokens.get(s)]
     if not live:
         return 1, []
     scale = sum(share for _, share, _ in live)
     most = min(int(r * tokens[s] / (share / scale)) for s, share, r in live)
     size = most if total is None else min(most, total)
-    blocks = max(1, size // block)
     shards = max(1, min(SHARDS, sum(tokens[s] for s, _, _ in live) // (SHARD_BLOCKS * block * len(live))))
-    by_shard: dict[str, dict[int, int]] = {}
-    for source, fine, n in sums:
-        own = by_shard.setdefault(source, {})
-        own[fine % shards] = own.get(fine % shards, 0) + n
-    out = []
     # As many blocks as a source can fill; its last one may be short.
     caps = [-(-r * tokens[s] // block) for s, _, r in live]
-    for (source, _, repeats), quota in zip(live, sainte_lague([share for _, share, _ in live], blocks, caps)):
-        own = sorted((h, n) for h, n in by_shard[source].items() if n)
-        dealt = sainte_lague([n for _, n in own], quota, [-(-repeats * n // block) for _, n in own])
-        for (shard, n), q in zip(own, dealt):
-            want = min(q * block, repeats * n)
-            out.append((source, shard, want // n, want % n))
-    return shards, out
+    dealt = sainte_lague([share for _, share, _ in live], max(1, size // block), caps)
+    return shards, [(source, quota, repeats) for (source, _, repeats), quota in zip(live, dealt)]
+
+
+def plan_shards(sums: list[tuple[int, int]], quota: int, repeats: int, block: int = BLOCK_TOKENS) -> list[tuple[int, int, int]]:
+    """A source's sums (shard, tokens) to (shard, whole passes, tokens of the last pass)."""
+    own = sorted((h, n) for h, n in sums if n)
+    dealt = sainte_lague([n for _, n in own], quota, [-(-repeats * n // block) for _, n in own])
+    wants = [min(q * block, repeats * n) for (_, n), q in zip(own, dealt)]
+    return [(shard, want // n, want % n) for (shard, n), want in zip(own, wants)]
+
+
+def _plan_group(block: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        made = plan_shards(list(zip(group["shard"], group["n"])), int(group["quota"].iloc[0]), int(group["repeats"].iloc[0]), block)
+        return pd.DataFrame([(group["source"].iloc[0], *row) for row in made], columns=["source", "shard", "passes", "rest"])
+
+    return run
+
+
+def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Copies of each post, where the posts come shard by shard in order: a post that fits what is left of its shard's last
+    pass is taken once more."""
+    at, gap = None, 0
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("source", "shard", "n_tokens", "passes", "rest")]
+        copies = []
+        for source, shard, n, passes, rest in zip(*columns):
+            if (source, shard) != at:
+                at, gap = (source, shard), rest
+            if n <= gap:
+                gap -= n
+                passes += 1
+            copies.append(passes)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "shard", "n_tokens")), pa.array(copies, pa.int64())], ["doc_id", "source", "shard", "n_tokens", "copies"])
+
+
+def _wanted(targets: DataFrame) -> DataFrame:
+    """One target for each source."""
+    best = F.max(F.struct("target_share", "max_repeats")).alias("t")
+    return targets.filter("source is not null").groupBy("source").agg(best).select("source", "t.target_share", "t.max_repeats")
 
 
 def mix_documents(documents: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: int | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, shard, n_tokens, copies): the posts of the mix and how many times each is used."""
     spark = documents.sparkSession
-    rows = targets.select("source", "target_share", "max_repeats").filter("source is not null").dropDuplicates(["source"]).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = [(r.source, r.target_share, r.max_repeats) for r in rows]
+    wanted = [tuple(r) for r in _wanted(targets).orderBy("source").collect()]
     used = documents.select("doc_id", "source", "text").filter(F.col("source").isin([w[0] for w in wanted] or [""]) & (F.col("text") != ""))
     counted = spread(used).mapInArrow(_count(tokenizer), "doc_id long, source string, n_tokens long")
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     # Narrow rows, written once: tokens are counted a single time.
     posts = durable(counted.select("*", key.alias("key"), F.pmod(F.xxhash64(key), F.lit(SHARDS)).alias("fine")))
-    sums = [(r.source, r.fine, r.n) for r in posts.groupBy("source", "fine").agg(F.sum("n_tokens").alias("n")).collect()]
-    shards, quotas = plan(sums, wanted, total=total_tokens)
-    quota = F.broadcast(spark.createDataFrame(quotas, "source string, shard long, passes long, rest long"))
-    placed = posts.withColumn("shard", F.col("fine") % F.lit(shards)).join(quota, ["source", "shard"])
-    group = Window.partitionBy("source", "shard")
-    order = group.orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Posts fill the rest in order as long as they fit; the gap that a large post leaves is filled by later ones that fit.
-    n = F.col("n_tokens")
-    filled = placed.withColumn("gap", F.col("rest")).withColumn("inside", F.lit(False))
-    for _ in range(FILLS):
-        fits = ~F.col("inside") & (n <= F.col("gap"))
-        filled = filled.withColumn("taken", fits & (F.sum(F.when(fits, n)).over(order) <= F.col("gap")))
-        left = F.col("gap") - F.coalesce(F.sum(F.when(F.col("taken"), n)).over(group), F.lit(0))
-        filled = filled.withColumn("gap", left).withColumn("inside", F.col("inside") | F.col("taken"))
-    copies = F.col("passes") + F.when(F.col("inside"), 1).otherwise(0)
-    return filled.withColumn("copies", copies).filter("copies > 0").select("doc_id", "source", "shard", "n_tokens", "copies")
+    tokens = {r.source: r.n for r in posts.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    shards, quotas = plan_sources(tokens, wanted, total=total_tokens)
+    quota = F.broadcast(spark.createDataFrame(quotas, "source string, quota long, repeats int"))  # the target table's sources
+    placed = posts.withColumn("shard", F.col("fine") % F.lit(shards)).drop("fine")
+    sums = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).join(quota, "source")
+    plans = sums.groupBy("source").applyInPandas(_plan_group(BLOCK_TOKENS), "source string, shard long, passes long, rest long")
+    ordered = placed.join(plans.filter("passes > 0 or rest > 0"), ["source", "shard"]).repartition("source", "shard").sortWithinPartitions("source", "shard", "key", "doc_id", "n_tokens")
+    return ordered.mapInArrow(_take, "doc_id long, source string, shard long, n_tokens long, copies long").filter("copies > 0")
 
 
 def mix_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, posts, most_copies) of each target source."""
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("posts"), F.max("copies").alias("most_copies"))
     whole = F.broadcast(used.agg(F.sum("tokens").alias("all_tokens")))  # one row
-    joined = targets.select("source", "target_share").filter("source is not null").dropDuplicates(["source"]).join(F.broadcast(used), "source", "left").join(whole)
+    joined = _wanted(targets).select("source", "target_share").join(F.broadcast(used), "source", "left").join(whole)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return joined.select("source", "target_share", (zero("tokens") / F.col("all_tokens")).alias("actual_share"), zero("tokens").alias("tokens"), zero("posts").alias("posts"), zero("most_copies").alias("most_copies"))

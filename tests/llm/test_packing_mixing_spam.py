@@ -81,6 +81,30 @@ def test_mix(spark):
     assert {tuple(r) for r in mixing.mix_documents(docs, targets).collect()} == {tuple(r) for r in mix.collect()}
 
 
+def test_no_post_is_left_that_fits(spark):
+    """In each shard the last pass takes every post in seeded order that fits, as a loop does."""
+    docs, targets = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "mix_targets"))
+    mix = {r.doc_id: r for r in mixing.mix_documents(docs, targets, total_tokens=60_000).collect()}
+    tokens = {}
+    for r in docs.filter("source is not null and text != ''").collect():
+        tokens.setdefault(r.source, {})[r.doc_id] = mixing.token_counts(mixing.pa.array([r.text]), mixing.TOKENIZER)[0]
+    wanted = [(r.source, r.target_share, r.max_repeats) for r in targets.orderBy("source").collect()]
+    shards, quotas = mixing.plan_sources({s: sum(t.values()) for s, t in tokens.items()}, wanted, total=60_000)
+    assert shards == 1
+    for source, quota, repeats in quotas:
+        ((_, passes, rest),) = mixing.plan_shards([(0, sum(tokens[source].values()))], quota, repeats)
+        gap = rest - sum(n for d, n in tokens[source].items() if d in mix and mix[d].copies > passes)
+        left = [n for d, n in tokens[source].items() if (mix[d].copies if d in mix else 0) == passes]
+        assert gap >= 0 and (not left or min(left) > gap)
+
+
+def test_two_targets_of_a_source(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "x y z " * 2000) for i in range(20)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("a", 0.1, 9)], "source string, target_share double, max_repeats int")
+    shares = {r.source: r.target_share for r in mixing.mix_shares(mixing.mix_documents(docs, targets), targets).collect()}
+    assert shares == {"a": 0.5, "b": 0.5}
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, "a", "x y z"), (2, "a", None), (3, "b", ""), (4, None, "q"), (5, "c", "w " * 9000), (6, "a", "x y z")], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 0.5, None), ("b", 0.3, 1), ("c", 0.2, 2), (None, 0.1, 1), ("d", 0.0, 1)], "source string, target_share double, max_repeats int")
