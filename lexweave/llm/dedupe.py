@@ -2,22 +2,24 @@
 
 Code points stream through one table that holds 0 for a character to skip and else its folded code; the polynomial of
 the codes that remain is the field's hash, so no canonical string is made. A row's key is made of two such hashes of 64
-bits. Rows with equal keys are then compared with two pointers that skip, and rows that collide without being equal
-(none in practice) are grouped again by their whole folded content.
+bits. Rows with equal keys are then compared with two pointers that skip; entries in another order are first paired by
+their hashes. Rows that collide without being equal (none in practice) are grouped again by their whole folded content.
 
 Copies: the same lang, and the same word, root and multiset of (gloss lang, entry) once everything but letters, marks
 and decimal digits is dropped and letters are lower-cased, final sigma counting as sigma. Null and empty are the same,
 and an entry in which nothing remains is none. Rows without a lexeme_no can't be named and are left out; a lexeme_no
 that stands on several rows makes no pair with itself.
 
-Scale: only (lexeme_no, two longs) are shuffled to find the groups. A group's smallest number comes from a map-side
-combined minimum, and joins over hot groups are salted, so a group may hold any part of all rows.
+Scale: keys (two longs) alone are shuffled to find the groups, combined before. Then the rows of groups, and only they
+where the groups are few enough to be broadcast, are brought together by key, once, each group in as many parts as its
+size asks for and its first record in every part, and are compared as a stream; so a group may hold any part of all rows,
+and no group is held in memory.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import zip_longest
@@ -28,12 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..operators.joins import split_join
+from ..session import durable, spread
 
-#: Parts of every group in the narrow join on hashes.
-SALT = 16
-#: Rows of a part, and parts of a group at most, in the join that carries texts.
-PART, PARTS = 5000, 1024
+#: Rows of a part of a group.
+PART = 50_000
 _END = 0xE01F0
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -112,15 +113,17 @@ def _record_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return keys[0], keys[1]
 
 
-def hash_records(bits: int = 64):
-    """A mapInArrow function to (lexeme_no, h1, h2); fewer bits make collisions, for tests."""
+def hash_records(bits: int = 64, whole: bool = False):
+    """A mapInArrow function to (lexeme_no, h1, h2), with whole rows to all columns, h1 and h2; fewer bits make collisions,
+    for tests."""
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 one, two = (k & mask for k in _record_keys(batch))
-                yield pa.RecordBatch.from_arrays([batch.column("lexeme_no"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["lexeme_no", "h1", "h2"])
+                kept = batch.schema.names if whole else ["lexeme_no"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], [*kept, "h1", "h2"])
 
     return run
 
@@ -154,14 +157,40 @@ def same_record(a: dict, b: dict) -> bool:
         return False
     if all(x[0] == y[0] and same_folded(x[1], y[1]) for x, y in zip(one, two)):
         return True
-    return Counter((k, tuple(_stream(e))) for k, e in one) == Counter((k, tuple(_stream(e))) for k, e in two)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # In another order: entries of one language and hash are held against each other; equality makes any choice right.
+    left = defaultdict(list)
+    for k, e in one:
+        left[k, _rolling(e)].append(e)
+    for k, e in two:
+        own = left[k, _rolling(e)]
+        at = next((i for i, x in enumerate(own) if same_folded(x, e)), None)
+        if at is None:
+            return False
+        own.pop(at)
+    return True
+
+
+def _rolling(text: str) -> int:
+    h = 0
+    for code in _stream(text):
+        h = (h * 1_000_003 + code) % ((1 << 61) - 1)
+    return h
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by group and part, the group's first record at the head of each part; the others are held against it."""
+    at, head = None, None
     for batch in batches:
-        firsts, copies = batch.column("first").to_pylist(), batch.column("copy").to_pylist()
-        same = [same_record(a, b) for a, b in zip(firsts, copies)]
-        yield pa.RecordBatch.from_arrays([batch.column("first_no"), batch.column("copy_no"), pa.array(same, pa.bool_())], ["first_no", "copy_no", "same"])
+        firsts, copies, same = [], [], []
+        for row in batch.to_pylist():
+            part = (row["h1"], row["h2"], row["salt"])
+            if part != at:
+                at, head = part, row
+            elif row["lexeme_no"] != row["first_no"]:
+                firsts.append(row["first_no"])
+                copies.append(row["lexeme_no"])
+                same.append(same_record(head, row))
+        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(copies, pa.int64()), pa.array(same, pa.bool_())], ["first_no", "copy_no", "same"])
 
 
 def _content(row_lang, word, root, glosses) -> str:
@@ -176,27 +205,19 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lexeme_no"), pa.array([_content(r["lang"], r["word"], r["root"], r["glosses"]) for r in rows], pa.string())], ["lexeme_no", "content"])
 
 
-def _all_salts():
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
-
-
 def formatting_copies(lexemes: DataFrame, bits: int = 64) -> DataFrame:
     """(first_no, copy_no): for each record that isn't the first of its copies, the smallest lexeme_no among them."""
-    base = lexemes.select("lexeme_no", "lang", "word", "root", "glosses").filter("lexeme_no is not null")
-    keys = durable(base.mapInArrow(hash_records(bits), "lexeme_no long, h1 long, h2 long"))
-    groups = keys.groupBy("h1", "h2").agg(F.min("lexeme_no").alias("first_no"), F.max("lexeme_no").alias("last_no"), F.count("*").alias("n")).filter("first_no < last_no")
-    # Groups come in as many parts as their size asks for; most are of one.
-    groups = groups.select("h1", "h2", "first_no", F.least(F.lit(PARTS), F.floor(F.col("n") / PART) + 1).alias("parts"))
-    salted = keys.withColumn("salt", F.pmod(F.xxhash64("lexeme_no"), F.lit(SALT)))
-    spread = groups.withColumn("salt", _all_salts())
-    pairs = salted.join(spread, ["h1", "h2", "salt"]).filter("lexeme_no != first_no").select("first_no", F.col("lexeme_no").alias("copy_no"), "parts").distinct()
-
-    whole = F.struct("lang", "word", "root", "glosses")
-    heads = groups.groupBy(F.col("first_no").alias("lexeme_no")).agg(F.max("parts").alias("parts"))
-    firsts = base.join(heads, "lexeme_no").select(F.col("lexeme_no").alias("first_no"), whole.alias("first"), "parts")
-    firsts = firsts.dropDuplicates(["first_no"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    copies = base.select(F.col("lexeme_no").alias("copy_no"), whole.alias("copy")).join(pairs, "copy_no").withColumn("salt", F.pmod(F.xxhash64("copy_no"), F.col("parts")))
-    checked = copies.join(firsts, ["first_no", "salt"]).select("first_no", "copy_no", "first", "copy").mapInArrow(_verify, "first_no long, copy_no long, same boolean")
+    base = spread(lexemes.select(F.col("lexeme_no").cast("long").alias("lexeme_no"), "lang", "word", "root", "glosses").filter("lexeme_no is not null"))
+    keys = base.mapInArrow(hash_records(bits), "lexeme_no long, h1 long, h2 long")
+    found = keys.groupBy("h1", "h2").agg(F.min("lexeme_no").alias("first_no"), F.max("lexeme_no").alias("last_no"), F.count("*").alias("n")).filter("first_no < last_no")
+    groups = durable(found.drop("last_no"))
+    hashed = base.mapInArrow(hash_records(bits, True), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields) + ", h1 long, h2 long")
+    grouped = split_join(hashed, groups, ["h1", "h2"], ["lexeme_no"], counts=groups)
+    # The first record goes to every part of its group.
+    parts, is_first = F.floor(F.col("n") / PART) + 1, F.col("lexeme_no") == F.col("first_no")
+    salts = F.when(is_first, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("lexeme_no"), parts)))
+    dealt = grouped.withColumn("salt", F.explode(salts)).drop("n").repartition("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", (~is_first).cast("int"), "lexeme_no")
+    checked = dealt.mapInArrow(_compare, "first_no long, copy_no long, same boolean")
     checked = durable(checked.groupBy("copy_no").agg(F.min("first_no").alias("first_no"), F.bool_and("same").alias("same")))
 
     failed = base.join(checked.filter("not same").select(F.col("copy_no").alias("lexeme_no")), "lexeme_no", "left_semi")

@@ -83,6 +83,15 @@ def test_collapse_counts_copies(spark):
     assert got[1] == 302 and got[7] == 3 and got[3] == 1 and sum(got.values()) == len(rows) - 1
 
 
+def test_large_groups_fall_into_parts(spark, monkeypatch):
+    """A group of more rows than a part holds, some of which only collide with the others."""
+    monkeypatch.setattr(dedupe, "PART", 10)
+    rows = [(i, "el", ("ab", "ab.", "AB")[i % 3] if i % 4 else "zz", None, [("en", ["p", "q"] if i % 2 else ["Q", "p"])], None) for i in range(200)]
+    want = {(1, i) for i in range(2, 200) if i % 4} | {(0, i) for i in range(4, 200, 4)}
+    for bits in (64, 0):
+        assert {tuple(r) for r in dedupe.formatting_copies(lexemes(spark, rows), bits).select("first_no", "copy_no").collect()} == want
+
+
 def test_copies_against_brute_force(spark):
     rng = random.Random(3)
     vary = lambda s: "".join(rng.choice([c, c.upper(), c + " ", c + "."]) for c in s)
