@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -70,6 +71,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """df with the rows of equal keys in one task.
+
+    That goes by a hash of its own: a repartition by the keys themselves is left out where a join has just brought them
+    together, and the join may then be replaced at run time by one that doesn't.
+    """
+    return df.withColumn("_place", F.xxhash64(*keys)).repartition("_place").drop("_place")
+
+
 _shipped: set[str] = set()
 
 
