@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import split_join
-from ..session import durable, spread
+from ..session import durable, gathered, spread
 
 #: Rows of a part of a group.
 PART = 50_000
@@ -216,7 +216,7 @@ def formatting_copies(lexemes: DataFrame, bits: int = 64) -> DataFrame:
     # The first record goes to every part of its group.
     parts, is_first = F.floor(F.col("n") / PART) + 1, F.col("lexeme_no") == F.col("first_no")
     salts = F.when(is_first, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("lexeme_no"), parts)))
-    dealt = grouped.withColumn("salt", F.explode(salts)).drop("n").repartition("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", (~is_first).cast("int"), "lexeme_no")
+    dealt = gathered(grouped.withColumn("salt", F.explode(salts)).drop("n"), "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", (~is_first).cast("int"), "lexeme_no")
     checked = dealt.mapInArrow(_compare, "first_no long, copy_no long, same boolean")
     checked = durable(checked.groupBy("copy_no").agg(F.min("first_no").alias("first_no"), F.bool_and("same").alias("same")))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, spread
+from ..session import durable, gathered, spread
 from .tokens import TOKENIZER, token_counts
 
 BLOCK_TOKENS = 2048
@@ -157,7 +157,7 @@ def mix_documents(documents: DataFrame, targets: DataFrame, seed: int = 1, total
     placed = posts.withColumn("shard", F.col("fine") % F.lit(shards)).drop("fine")
     sums = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).join(quota, "source")
     plans = sums.groupBy("source").applyInPandas(_plan_group(BLOCK_TOKENS), "source string, shard long, passes long, rest long")
-    ordered = placed.join(plans.filter("passes > 0 or rest > 0"), ["source", "shard"]).repartition("source", "shard").sortWithinPartitions("source", "shard", "key", "doc_id", "n_tokens")
+    ordered = gathered(placed.join(plans.filter("passes > 0 or rest > 0"), ["source", "shard"]), "source", "shard").sortWithinPartitions("source", "shard", "key", "doc_id", "n_tokens")
     return ordered.mapInArrow(_take, "doc_id long, source string, shard long, n_tokens long, copies long").filter("copies > 0")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.glosses import tokens
+from ..session import gathered
 
 #: Distinct terms that a task holds before it passes its arrays on.
 BLOCK = 1 << 17
@@ -122,7 +123,7 @@ def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_terms(rows: DataFrame) -> DataFrame:
     """rows (field string, term string, first boolean), one for each occurrence, to (field, term, term_id, occurrences, records)."""
     blocks = rows.filter("term is not null and field is not null").mapInArrow(_local_blocks, _COUNTS)
-    dealt = blocks.repartition("field", "term").sortWithinPartitions("field", "term")
+    dealt = gathered(blocks, "field", "term").sortWithinPartitions("field", "term")
     return dealt.mapInArrow(_sum_ranges, "field string, term string, term_id long, occurrences long, records long")
 
 

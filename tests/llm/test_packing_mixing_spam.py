@@ -98,6 +98,22 @@ def test_no_post_is_left_that_fits(spark):
         assert gap >= 0 and (not left or min(left) > gap)
 
 
+def test_mix_where_joins_change_at_run_time(spark):
+    """A sort-merge join that becomes a broadcast join at run time gives up its partitioning; shards stay whole."""
+    docs, targets = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "mix_targets"))
+    want = {tuple(r) for r in mixing.mix_documents(docs, targets).collect()}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert {tuple(r) for r in mixing.mix_documents(docs, targets).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_two_targets_of_a_source(spark):
     docs = spark.createDataFrame([(i, "ab"[i % 2], "x y z " * 2000) for i in range(20)], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("a", 0.1, 9)], "source string, target_share double, max_repeats int")
