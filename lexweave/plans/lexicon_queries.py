@@ -85,8 +85,9 @@ def stopword_ratio(spark, sf):
 
 
 def betacode_words(spark, sf):
-    tokens = _read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).distinct()
-    return tokens.select("token", betacode.to_greek("token")["greek"].alias("greek"))
+    """All that stands between white space in the posts, read as betacode, or why it can't be."""
+    tokens = _read(spark, sf, "documents").select(F.explode(F.split("text", r"[ \t\r\n\x0B\f]+")).alias("token")).filter("token != ''").distinct()
+    return tokens.select("token", betacode.to_greek("token").alias("r")).select("token", "r.greek", "r.error")
 
 
 def postings_top60(spark, sf):

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions import betacode as B
-from ..functions import glosses as G
-from ..functions import greek as K
-from ..functions import lexicon_fields as fields
-from ..functions import morphology as M
-from ..functions import references as R
-from ..operators import paradigm as P
+from . import oracle_values as V
+
+_FIELDS = {name: (int(low), int(bits)) for name, low, bits in (f.split(":") for f in V.FIELDS.split())}
+_AFTER = dict(zip(*V.LOWER)) | dict(zip(*V.REMOVE_ACCENT))
 
 
 def _quoted(text: str) -> str:
@@ -19,8 +16,8 @@ def _named(column: str) -> str:
     return f'"{column}"'
 
 
-def _swap(column: str, table: dict[str, str]) -> str:
-    return f"translate({column}, {_quoted(''.join(table))}, {_quoted(''.join(table.values()))})"
+def _swap(column: str, letters: tuple[str, str]) -> str:
+    return f"translate({column}, {_quoted(letters[0])}, {_quoted(letters[1])})"
 
 
 def _in(column: str, values) -> str:
@@ -34,22 +31,22 @@ def _map(column: str, table: dict) -> str:
 
 def _accented(w: str) -> str:
     # Pieces end with a separator; in each the first accented small letter keeps its accent.
-    first = "".join(c for c in K.REMOVE_ACCENT if c not in K.LOWER)
+    first = "".join(c for c in V.REMOVE_ACCENT[0] if c not in V.LOWER[0])
     before = f"regexp_extract(p, '^[^{first}]*')"
-    piece = f"{_swap(before, K.LOWER)} || {_swap(f'p[length({before}) + 1]', K.FIX_GRAVE)} || {_swap(f'coalesce(p[length({before}) + 2:], {chr(39)}{chr(39)})', K.LOWER | K.REMOVE_ACCENT)}"
+    piece = f"{_swap(before, V.LOWER)} || {_swap(f'p[length({before}) + 1]', V.FIX_GRAVE)} || {_swap(f'coalesce(p[length({before}) + 2:], {chr(39)}{chr(39)})', ("".join(_AFTER), "".join(_AFTER.values())))}"
     whole = f"array_to_string(list_transform(regexp_extract_all({w}, '[^ \\t]+[ \\t]?|[ \\t]'), lambda p: {piece}), '')"
     return f"case when regexp_matches({w}, '[σΣς]$') then left({whole}, length({whole}) - 1) || 'ς' else {whole} end"
 
 
-_UNACCENTED, _SORT = _swap("word", K.UNACCENT), _swap("word", K.COLLATE)
+_UNACCENTED, _SORT = _swap("word", V.UNACCENT), _swap("word", V.COLLATE)
 _WORDS = "words as (select distinct word from forms where word is not null and word <> '')"
 _SPLIT = r"regexp_split_to_array({0}, '[ \t\r\n()\[\],.\-;:{{}}?!/\\&%+=]+')"
-_STOP = _in("lower({0})", G.STOPWORDS)
+_STOP = _in("lower({0})", V.STOPWORDS.split())
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _transliterated(w: str, marked: bool) -> str:
-    table = K.transliteration_table(marked)
+    table = dict(zip(*V.LATIN)) | {pair[0]: pair[1:] for pair in V.LATIN_TWO.split()} | (dict(zip(*V.LATIN_LONG)) if marked else {})
     cells = "MAP {" + ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in table.items()) + "}"
     return f"array_to_string(list_transform(string_split({w}, ''), lambda c: coalesce(({cells})[c], '')), '')"
 
@@ -69,7 +66,7 @@ _LEXICON = f"""kept as (select min(lexeme_no) as lexeme_no from lexemes where wo
 lex as (select l.* from lexemes l join kept using (lexeme_no)),
 form as (
   select f.*, l.word as lexeme_word, l.glosses as lexeme_glosses, coalesce(len(f.refs), 0) as n_refs, coalesce(len(f.glosses), 0) as n_glosses,
-    coalesce(f.preferred, false) as pref, {_swap("f.word", K.COLLATE)} as sort_key
+    coalesce(f.preferred, false) as pref, {_swap("f.word", V.COLLATE)} as sort_key
   from forms f join lex l on f.lexeme_no = l.lexeme_no where f.word is not null and f.word <> '')"""
 _FORM_COLS = "lexeme_no, form_no, uid, n_refs, n_glosses, pref, lexeme_word, sort_key, form_word"
 _FORM_RANK = """row_number() over (partition by keyword, tier order by strlen(form_word), case when tier <> 3 then coalesce(lexeme_word = keyword, false) end desc nulls last,
@@ -96,7 +93,7 @@ gloss_token as (
 
 
 def _bits(name: str, column: str = "packed") -> str:
-    low, bits = M.FIELDS[name]
+    low, bits = _FIELDS[name]
     return f"(({column} >> {low}) & {(1 << bits) - 1})"
 
 
@@ -111,10 +108,24 @@ where {_bits("pos")} = 2 and {_bits("tense")} <= 6 and {_bits("voice")} <= 3 and
 
 
 _REF = "ref.module || '#' || ref.book || ' ' || ref.chapter || ':' || ref.verse || case when ref.word > 0 then ' ' || ref.word else '' end"
-_WANTED = ", ".join(f"({pos}, {i}, {M.parse_byzantine(tag)})" for pos, tags in P.PRIMARY.items() for i, tag in enumerate(tags))
-_SLOTS = ", ".join(str(s) for s in P.panel_slots())
+# Packed records of the parsings that a primary form may have, by part of speech and in order.
+_WANTED = """(2, 0, 10519074), (2, 1, 10617378), (2, 2, 10551842), (2, 3, 10584610), (2, 4, 10519106), (2, 5, 10519138), (2, 6, 10519170),
+  (3, 0, 8654851), (3, 1, 8658947), (3, 2, 8667139), (4, 0, 8654852), (4, 1, 8658948), (4, 2, 8667140)"""
+_SLOTS = """
+  select 'verb' as kind, panel_no, title, subtitle, side, person - case mood when 4 then 2 else 1 end as slot, 2 as pos, tense, voice, mood, person, number, 0 as "case", 0 as slot_gender
+  from (values (1, 'Present', 'Active', 1, 1, 1), (2, 'Future', 'Active', 2, 1, 1), (3, 'Imperfect', 'Active', 4, 1, 1), (4, 'Aorist', 'Active', 3, 1, 1),
+    (5, 'Perfect', 'Active', 5, 1, 1), (6, 'Pluperfect', 'Active', 6, 1, 1), (7, 'Subjunctive', 'Present Active', 1, 1, 2), (8, 'Subjunctive', 'Aorist Active', 3, 1, 2),
+    (9, 'Subjunctive', 'Present Mid', 1, 2, 2), (10, 'Subjunctive', 'Aorist Mid', 3, 2, 2), (11, 'Subjunctive', 'Present Psv', 1, 3, 2), (12, 'Subjunctive', 'Aorist Psv', 3, 3, 2),
+    (14, 'Present', 'Passive', 1, 3, 1), (15, 'Future', 'Middle', 2, 2, 1), (16, 'Future', 'Passive', 2, 3, 1), (17, 'Imperfect', 'Passive', 4, 3, 1), (18, 'Aorist', 'Passive', 3, 3, 1),
+    (19, 'Imperative', 'Present Active', 1, 1, 4), (20, 'Imperative', 'Aorist Active', 3, 1, 4), (21, 'Imperative', 'Present Psv', 1, 3, 4), (22, 'Imperative', 'Aorist Psv', 3, 3, 4))
+    p(panel_no, title, subtitle, tense, voice, mood), (values ('top', 1), ('bottom', 3)) s(side, number), (values (1), (2), (3)) q(person) where mood <> 4 or person > 1
+  union all select 'verb', 13, 'Infinitive', '', side, slot, 2, tense, voice, 5, 0, 0, 0, 0 from (values ('top', 0, 1, 1), ('top', 1, 3, 1), ('bottom', 0, 1, 3), ('bottom', 1, 3, 3)) i(side, slot, tense, voice)
+  union all select kind, panel_no, title, '', side, slot, pos, 0, 0, 0, 0, number, "case", gender from (values ('noun', 3), ('adjective', 4)) k(kind, pos),
+    (values (1, 'Masculine', 1), (2, 'Feminine', 2), (3, 'Neuter', 4)) g(panel_no, title, gender), (values ('top', 1), ('bottom', 3)) s(side, number), (values (0, 1), (1, 3), (2, 4), (3, 2)) c(slot, "case")
+  union all select 'pronoun', panel_no, title, '', 'top', "case" - 1, 13, tense, 0, 0, person, 0, "case", 0
+    from (values (1, 'Singular', 11, 1), (2, 'Plural', 12, 1), (3, 'Singular', 11, 2), (4, 'Plural', 12, 2)) n(panel_no, title, tense, person), (values (1), (2), (3), (4)) c("case")"""
 _KIND = "case when {0} = 2 then 'verb' when {0} = 3 or {0} = 7 and {1} = 0 then 'noun' when {0} = 13 then 'pronoun' when {0} = 4 then 'adjective' end".format(_bits("pos", "l.pos"), _bits("indeclinable", "l.pos"))
-_CELLS = f"""slots({", ".join(_named(c.split()[0]) for c in P.SLOTS.split(", "))}) as (values {_SLOTS}),
+_CELLS = f"""slots as ({_SLOTS}),
 part as (
   select f.lexeme_no, f.form_no, f.word, {_KIND} as kind, {", ".join(f"{_bits(n, 'f.parsing')} as f_{n}" for n in ("pos", "tense", "voice", "mood", "person", "number", "case", "gender"))}
   from form f join lex l on f.lexeme_no = l.lexeme_no),
@@ -133,9 +144,58 @@ _GLOSS_SOURCE = f"""either_token as (
   union all select lexeme_no, form_no, {_transliterated("word", False)} from form),
 src as (select b.token as word, {_FORM_COLS.replace("form_word", "f.word as form_word").replace("lexeme_no, form_no", "f.lexeme_no, f.form_no")} from either_token b join form f on b.lexeme_no = f.lexeme_no and b.form_no = f.form_no where b.token <> '')"""
 
+_MARK = {"/": "chr(769)", "\\": "chr(768)", "(": "chr(788)", ")": "chr(787)", "|": "chr(837)", "+": "chr(776)", "=": "chr(834)"}
+# Combinations of marks that are read, in the order of Unicode; letters that come out otherwise than composed.
+_SETS = ")/ (/ )\\ (\\ )= (= /| \\| =| )| (| )/| (/| )\\| (\\| )=| (=| +/ +\\ += ) ( / \\ = | +".split()
+_ODD = "Υ)ὐ ε)\\ἔ Ω)\\Ὤ Ε(\\Ἒ Ι+\\ῒ Υ+\\ῢ ι+/ΐ Ι+/ΐ Υ+/ΰ Υ)=ὖ η(\\|ᾕ ω(\\|ᾥ Η(\\|ᾝ Ω(\\|ᾭ".split()
+_BETACODE = rf"""
+with tok as (select distinct unnest(regexp_extract_all(text, '[^ \t\r\n\x0B\f]+')) as t from documents),
+cut as (select t, regexp_extract(t, '^[A-Za-z/\\()|+=^123]*') as p from tok),
+split as (
+  select t, t[length(p) + 1:] as rest, regexp_extract(p, '^[^A-Za-z]*') as lead, regexp_extract_all(p, '[A-Za-z][^A-Za-z]*') as gs from cut),
+unit as (
+  select t, i, len(gs) as n, {_swap("gs[i][1]", V.BETACODE)} as l, replace(gs[i][2:] || case when i = 1 then lead else '' end, '^', '=') as m
+  from (select *, unnest(range(1, len(gs) + 1)) as i from split)),
+marked as (
+  select *, regexp_extract(m, '[123]') as sign,
+    {" || ".join(f"case when contains(m, {_quoted(c)}) then {_quoted(c)} else '' end" for c in ")(+/\\=|")} as marks,
+    (contains(m, '1')::int + contains(m, '2')::int + contains(m, '3')::int) as signs from unit),
+formed as (
+  select *, nfc_normalize(l || {" || ".join(f"case when contains(marks, {_quoted(c)}) then {x} else '' end" for c, x in ((c, _MARK[c]) for c in ")(+\\/=|"))}) as joined,
+    case l || marks {" ".join(f"when {_quoted(o[:-1])} then {_quoted(o[-1])}" for o in _ODD)} end as odd from marked),
+letter as (
+  select t, i, n, case
+      when signs = 0 and marks = '' then case when l = 'σ' and i = n then 'ς' else l end
+      when signs > 0 then case when signs + length(marks) > 1 or l not in ('σ', 'Σ', 'ς') then null when l = 'Σ' then case sign when '3' then 'Ϲ' else 'Σ' end
+        else case sign when '1' then 'σ' when '2' then 'ς' else 'ϲ' end end
+      when odd is not null then odd
+      when marks in ({", ".join(_quoted(x) for x in _SETS)}) and length(joined) = 1 and joined <> 'ῤ' then joined end as g from formed),
+word as (
+  select t, string_agg(g, '' order by i) as greek, bool_or(g is null and i < n) as bad_inside, bool_or(g is null) as bad from letter group by t),
+whole as (
+  select s.t, coalesce(greek, '') || case when rest[1] = '''' then '᾽' else '' end as greek, case when rest[1] = '''' then rest[2:] else rest end as more,
+    coalesce(bad_inside, false) as bad_inside, coalesce(bad, false) as bad, rest <> '' and (unicode(rest[1]) > 127 or rest[1] = '*') as stops
+  from split s left join word w on s.t = w.t),
+read as (
+  select t, greek, case when bad_inside then 'UnexpectedAccent' when stops then 'UnexpectedCharacter' when bad then 'UnexpectedAccent' when more <> '' then 'UnexpectedCharacter'
+    when strlen(greek) > 500 then 'Overflow' end as error from whole)
+"""
+_TEXT = "coalesce({0}::varchar, '')"
+_GLOSS_TEXT = "coalesce(array_to_string(list_transform({0}, lambda g: g.lang || ':' || array_to_string(g.entries, ':')), '#'), '')"
+_LABELS = {i: {14: "PosessivePronoun", 19: "HebrewTransliteration", 25: "", 28: ""}.get(i, label.strip().replace(" ", "")) for i, label in enumerate(V.LABELS.split(","))}
+_LINES = f"""tag as (select packed, min(tag) as tag from parsing_tags group by packed),
+lines as (
+  select concat_ws('|', {_TEXT.format("word")}, {_TEXT.format("lang")}, {_TEXT.format("uid")}, coalesce({_map(_bits("pos", "pos"), _LABELS)}, ''),
+    coalesce({_map("article", {0: "", 1: "ὁ", 2: "ἡ", 3: "ὁ ἡ", 4: "τό", 5: "ὁ τό", 7: "ὁ ἡ τό"})}, ''), {_TEXT.format("genitive_suffix")}, coalesce(array_to_string(strongs, ','), ''),
+    {_TEXT.format("root")}, {_GLOSS_TEXT.format("glosses")}, {_TEXT.format("adjective")}, coalesce(array_to_string(tags, ', '), ''), {_TEXT.format("note")}) as line from lex
+  union all
+  select '  ' || concat_ws('|', f.word, coalesce(case when regexp_matches(t.tag, '^P-[12]') then left(t.tag, 4) else t.tag end, ''), case when pref then 'true' else 'false' end, {_TEXT.format("uid")},
+    {_GLOSS_TEXT.format("glosses")}, coalesce(array_to_string(list_transform(refs, lambda r: r.module || '#' || r.book || ' ' || r.chapter || ':' || r.verse || case when r.word > 0 then ' ' || r.word else '' end), ','), ''))
+  from form f left join tag t on f.parsing = t.packed)"""
+
 SQL = {
-    "word_keys": f"""with {_WORDS} select word, {_accented("word")} as accented, {_UNACCENTED} as unaccented, {_swap("word", K.LOWER)} as lowercased,
-  {_SORT} as sort_key, {_swap("word", K.NORMALISE)} as normalised from words""",
+    "word_keys": f"""with {_WORDS} select word, {_accented("word")} as accented, {_UNACCENTED} as unaccented, {_swap("word", V.LOWER)} as lowercased,
+  {_SORT} as sort_key, {_swap("word", V.NORMALISE)} as normalised from words""",
     "transliterate": f"with {_WORDS} select word, {_transliterated('word', False)} as plain, {_transliterated('word', True)} as marked from words",
     "prefix_keywords": f"with {_WORDS}, {_keyed('words', 'word')} select tier, keyword, count(*) as n from posting group by tier, keyword".replace("select word, word, ", "select word, "),
     "collation_rank": f"with {_WORDS} select word, row_number() over (order by {_SORT}, word) as rank from words",
@@ -155,8 +215,8 @@ select keyword, rank, lexeme_no, form_no from (select *, {_FORM_RANK} as rank fr
 where token <> '' and (strlen(token) = strlen(entry) or not {_STOP.format("token")}) group by lang, token""",
     "stopword_ratio": f"""select lang, count(*) as tokens, sum(case when {_STOP.format("token")} then 1 else 0 end)::bigint as stopwords
 from (select lang, unnest({_SPLIT.format("text")}) as token from documents) where token <> '' group by lang""",
-    "betacode_words": f"""select token, regexp_replace({_swap("token", B.LETTERS | B.EXTRA["default"])}, 'σ$', 'ς') as greek
-from (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as token from documents)""",
+    "betacode_words": _BETACODE + "select t as token, case when error is null then greek end as greek, error from read",
+    "text_export": f"with {_LEXICON}, {_LINES} select line from lines",
     "postings_top60": f"with {_LEXICON}, {_FORM_SOURCE}, {_keyed('src', _FORM_COLS)} {_POSTINGS}",
     "postings_lexeme_top60": f"""with {_LEXICON}, src as (select word, lexeme_no, {_SORT} as sort_key, word as lexeme_word, coalesce(len(glosses), 0) as n_glosses from lex),
 {_keyed("src", "lexeme_no, sort_key, lexeme_word, n_glosses")}
@@ -188,17 +248,17 @@ from hit join posting p on hit.keyword = p.keyword group by query_no, p.keyword,
     "format_byzantine": r"""select parsing, coalesce(case when regexp_matches(t.tag, '^P-[12]') then left(t.tag, 4) else t.tag end, '') as tag, n
 from (select parsing, count(*) as n from forms where parsing is not null group by parsing) f
 left join (select packed, min(tag) as tag from parsing_tags group by packed) t on f.parsing = t.packed""",
-    "unpack_parsing": "select tag, " + ", ".join(f'{_bits(n)}::int as "{n}"' for n in M.FIELDS) + " from parsing_tags",
+    "unpack_parsing": "select tag, " + ", ".join(f'{_bits(n)}::int as "{n}"' for n in _FIELDS) + " from parsing_tags",
     "pack_parsing": "select tag, packed, true as same from parsing_tags",
     "parse_cntr": _positional("cntr"),
     "parse_morphgnt": _positional("morphgnt"),
     "parse_ccat": _positional("ccat"),
     "parse_reference": f"select distinct {_REF} as text, ref.module, ref.book, ref.chapter, ref.verse, ref.word from (select unnest(refs) as ref from forms)",
     "concordance": "select ref.module, ref.book, ref.chapter, count(*) as n from (select unnest(refs) as ref from forms) group by all",
-    "modules": "select * from (values " + ", ".join(f"({i}, {_quoted(c)}, {_quoted(n)})" for i, c, n, _ in R.modules()) + ") t(code, module, name)",
-    "books": "select * from (values " + ", ".join(f"({i}, {_quoted(b)})" for i, b in enumerate(R.BOOKS)) + ") t(code, english)",
-    "articles": f"select {_map('article', fields.GENDERS)} as gender, count(*) as n from lexemes group by 1",
-    "parts_of_speech": f"select {_map(_bits('pos', 'pos'), {i: M.english_label(i) for i in range(30)})} as label, count(*) as n from lexemes group by 1",
+    "modules": "select * from (values " + ", ".join(f"({i}, {_quoted(c)}, {_quoted(n)})" for i, (c, n) in enumerate(m.split("/") for m in V.MODULES.split(", "))) + ") t(code, module, name)",
+    "books": "select * from (values " + ", ".join(f"({i}, {_quoted(n)}, {_quoted(s)})" for i, (n, s) in enumerate(b.strip().split("/") for b in V.BOOKS.split(", "))) + ") t(code, english, english_short)",
+    "articles": f"select {_map('article', {int(k): v for k, v in (g.split(":") for g in V.GENDERS.split(", "))})} as gender, count(*) as n from lexemes group by 1",
+    "parts_of_speech": f"select {_map(_bits('pos', 'pos'), dict(enumerate(label.strip() for label in V.LABELS.split(","))))} as label, count(*) as n from lexemes group by 1",
     "primary_form": f"""with {_LEXICON}, wanted(pos, priority, parsing) as (values {_WANTED}),
 hit as (
   select f.lexeme_no, f.form_no, f.parsing, f.pref, f.n_glosses > 0 as glossed, f.n_refs, w.priority

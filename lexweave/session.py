@@ -77,7 +77,7 @@ def gathered(df: DataFrame, *keys: str) -> DataFrame:
     That goes by a hash of its own: a repartition by the keys themselves is left out where a join has just brought them
     together, and the join may then be replaced at run time by one that doesn't.
     """
-    return df.withColumn("_place", F.xxhash64(*keys)).repartition("_place").drop("_place")
+    return df.repartition(F.xxhash64(*keys))
 
 
 _shipped: set[str] = set()

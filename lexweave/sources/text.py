@@ -115,7 +115,7 @@ def lexeme_line(pos_label: Column | None = None) -> Column:
 def form_line() -> Column:
     c = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     refs = F.array_join(F.transform("refs", R.reference_text), ",")
-    return F.concat(F.lit("  "), F.concat_ws("|", c("word"), M.format_tag("parsing"), F.when(F.coalesce("preferred", F.lit(False)), "true").otherwise("false"), c("uid"), F.coalesce(G.gloss_text("glosses"), F.lit("")), F.coalesce(refs, F.lit(""))))
+    return F.concat(F.lit("  "), F.concat_ws("|", c("word"), F.coalesce(M.format_tag("parsing"), F.lit("")), F.when(F.coalesce("preferred", F.lit(False)), "true").otherwise("false"), c("uid"), F.coalesce(G.gloss_text("glosses"), F.lit("")), F.coalesce(refs, F.lit(""))))
 
 
 def text_lines(lexemes: DataFrame, forms: DataFrame, only_glossed: bool = False) -> DataFrame:
