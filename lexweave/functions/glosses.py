@@ -36,6 +36,16 @@ def entries_of(glosses: Column | str, lang: str) -> Column:
     return F.try_element_at(F.filter(glosses, lambda g: g["lang"] == lang), F.lit(1))["entries"]
 
 
+def add_gloss(glosses: Column | str, lang: str, entry: Column | str) -> Column:
+    """glosses with one more entry at the end of the first gloss in lang, or with a new gloss of it alone."""
+    glosses = F.coalesce(F.col(glosses) if isinstance(glosses, str) else glosses, F.array().cast("array<struct<lang:string,entries:array<string>>>"))
+    entry = F.array(F.col(entry) if isinstance(entry, str) else entry)
+    at = F.array_position(F.transform(glosses, lambda g: g["lang"]), lang) - 1
+    gloss = lambda g, entries: F.struct(g["lang"].alias("lang"), entries.alias("entries"))
+    longer = F.transform(glosses, lambda g, i: gloss(g, F.when(i == at, F.concat(F.coalesce(g["entries"], F.array().cast("array<string>")), entry)).otherwise(g["entries"])))
+    return F.when(at >= 0, longer).otherwise(F.concat(glosses, F.array(F.struct(F.lit(lang).alias("lang"), entry.alias("entries")))))
+
+
 def gloss_string(entries: Column | str) -> Column:
     """Entries joined by ', ' with a final '.' unless the text ends in . ; ) , ? or the last entry is empty."""
     entries = F.col(entries) if isinstance(entries, str) else entries

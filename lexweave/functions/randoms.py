@@ -19,6 +19,11 @@ def u24(key: Column, seed: int = 0) -> Column:
     return bounded(key, 1 << 24, seed)
 
 
+def u64(key: Column, seed: int = 0) -> Column:
+    """64 bits, as a signed long."""
+    return F.xxhash64(F.lit(seed), key)
+
+
 def string(key: Column, length: int, seed: int = 0) -> Column:
     """Of the characters a-z, A-Z and 0-9."""
     alphabet = F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")

@@ -12,7 +12,8 @@ from ..functions import morphology as M
 from ..functions import references as R
 from ..operators import index, paradigm
 from ..operators import lexicon as L
-from ..sources import text
+from ..session import durable, table_folder
+from ..sources import load_lexicon, tables, text
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -102,6 +103,20 @@ def postings_gloss_top60(spark, sf):
     return index.ranked(_lexicon(spark, sf).written().by_gloss, index.GLOSS_SPEC, index.MAX_RESULTS).select("keyword", "tier", "rank", "lexeme_no", "form_no")
 
 
+def postings_stored(spark, sf):
+    """The posting lists as written to tables with the dictionary, loaded with it again."""
+    path = table_folder(spark)
+    tables.write_tables(_lexicon(spark, sf), path, indexes=("by_form",))
+    return index.ranked(load_lexicon(spark, path).by_form, index.FORM_SPEC, index.MAX_RESULTS).select("keyword", "tier", "rank", "lexeme_no", "form_no")
+
+
+def postings_by_uid(spark, sf):
+    """Posting lists that keep uids only, as in the binary form, with their forms looked up."""
+    lex = _lexicon(spark, sf).written()
+    kept = durable(index.ranked(lex.by_form, index.FORM_SPEC, index.MAX_RESULTS).select("keyword", "tier", "rank", "uid"))
+    return tables.by_uid(kept, lex.forms).select("keyword", "tier", "rank", "lexeme_no", "form_no")
+
+
 def posting_fanout(spark, sf):
     return _lexicon(spark, sf).by_form.groupBy("tier").agg(F.count("*").alias("postings"), F.countDistinct("keyword").alias("keywords"))
 
@@ -168,21 +183,33 @@ def pack_parsing(spark, sf):
     return fields_.select("tag", M.packed(**{n: F.col(f"u.{n}") for n in M.FIELDS}).alias("packed"), (M.packed(**{n: F.col(f"u.{n}") for n in M.FIELDS}) == F.col("packed")).alias("same"))
 
 
+# How the three positional notations write the parts of speech (by code) and the order of the fields after them.
+_NOTATIONS = {
+    "cntr": ({2: "V", 3: "N", 4: "A", 10: "E", 5: "D", 6: "C", 8: "P", 11: "I", 1: "X"}, "       ", "mood tense voice person case gender number", ""),
+    "morphgnt": ({2: "V-", 3: "N-", 4: "A-", 10: "RA", 15: "RR", 16: "RD", 5: "D-", 6: "C-", 8: "P-", 11: "I-", 1: "X-"}, " ", "person tense voice mood case number gender", "-"),
+    "ccat": ({2: "VX", 3: "N ", 4: "A ", 10: "RA", 15: "RR", 16: "RD", 5: "D", 6: "C", 8: "P", 11: "I", 1: "X"}, "  ", "", ""),
+}
+
+
 def _positional(spark, sf, notation: str) -> DataFrame:
-    """Verbs of the valid tags written in a positional notation and read back."""
+    """The valid tags that a positional notation has too, written in it, and the same with an unknown part of speech or
+    case; then read."""
+    names, gap, order, end = _NOTATIONS[notation]
     p = lambda n: M.field("packed", n)
     pick = lambda letters, n: F.substr(F.lit(letters), p(n) + 1, F.lit(1))
-    verbs = _read(spark, sf, "parsing_tags").filter((p("pos") == 2) & (p("tense") <= 6) & (p("voice") <= 3) & (p("number") != 2) & (p("crasis") == 0))
+    plain = (p("number") != 2) & (p("crasis") == 0) & (p("interrogative") == 0) & (p("negative") == 0) & (p("correlative") == 0) & (p("indefinite") == 0) & (p("indeclinable") == 0)
+    known = plain & p("pos").isin([*names]) & (p("tense") <= 6) & (p("voice") <= 3) & ((p("pos") == 2) | p("gender").isin(0, 1, 2, 4))
+    tags = _read(spark, sf, "parsing_tags").filter(known)
     parts = {"mood": pick(".ISOMNP", "mood"), "tense": pick(".PFAIEL", "tense"), "voice": pick(".AMP", "voice"), "person": pick(".123", "person"), "case": pick(".NAGDV", "case"), "gender": pick(".MF.N", "gender"), "number": pick(".S.P", "number")}
-    orders = {"cntr": ("V       ", "mood tense voice person case gender number"), "morphgnt": ("V- ", "person tense voice mood case number gender"), "ccat": ("VX  ", "tense voice mood")}
-    head, order = orders[notation]
-    ending = F.lit("-" if notation == "morphgnt" else "")
+    written = F.concat(*[parts[n] for n in order.split()]) if order else F.lit("")
     if notation == "ccat":
-        finite = F.concat(pick(" 123", "person"), pick(" S P", "number"))
-        ending = F.when(p("mood") == 6, F.concat(parts["case"], parts["number"], parts["gender"])).when(p("mood") == 5, F.lit("")).otherwise(finite)
-    text = F.concat(F.lit(head), *[parts[n] for n in order.split()], ending)
-    read = verbs.select("packed", text.alias("text")).distinct().select("packed", "text", M.parse_tag("text", notation).alias("r"))
-    return read.select("packed", "text", F.col("r.packed").alias("read"))
+        nominal = F.concat(parts["case"], parts["number"], parts["gender"])
+        verbal = F.concat(parts["tense"], parts["voice"], parts["mood"], F.when(p("mood") == 6, nominal).when(p("mood") == 5, F.lit("")).otherwise(F.concat(pick(" 123", "person"), pick(" S P", "number"))))
+        written = F.when(p("pos") == 2, verbal).when(p("case") > 0, nominal).otherwise(F.lit(""))
+    text = F.concat(fields.mapped(p("pos"), names), F.lit(gap), written, F.lit(end))
+    bad = F.when((p("case") > 0) & (p("pos") != 2), F.concat(fields.mapped(p("pos"), names), F.lit(gap), F.translate(written, "NAGDV", "ZZZZZ"), F.lit(end)))
+    texts = tags.select(F.explode(F.array_compact(F.array(text, F.concat(F.lit("Q"), text), bad))).alias("text")).distinct()
+    return texts.select("text", M.parse_tag("text", notation).alias("r")).select("text", F.col("r.packed").alias("read"), "r.error")
 
 
 def parse_cntr(spark, sf):
@@ -233,6 +260,17 @@ def farmhash64(spark, sf):
     return _words(spark, sf).select("word", hashing.farmhash64("word").alias("hash"))
 
 
+def farmhash_vectors(spark, sf):
+    """Texts whose fingerprints are published."""
+    texts = ["test", "3true", "1footrue", "2applefalse", "test" * 8, "test" * 64]
+    return spark.createDataFrame([(t,) for t in texts], "text string").select("text", hashing.farmhash64("text").alias("hash"))
+
+
+def add_gloss(spark, sf):
+    """Each lexeme's word as one more English gloss."""
+    return _read(spark, sf, "lexemes").select("lexeme_no", G.gloss_text(G.add_gloss("glosses", "en", F.coalesce("word", F.lit("")))).alias("text"))
+
+
 def primary_form(spark, sf):
     lex = _lexicon(spark, sf).written()
     return paradigm.primary_form(lex.lexemes, lex.forms)
@@ -254,8 +292,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         word_keys, transliterate, prefix_keywords, collation_rank, form_collation_rank, part_name_index, autocomplete, text_export, gloss_token_counts, stopword_ratio, betacode_words, postings_top60, postings_lexeme_top60, postings_gloss_top60,
-        posting_fanout, gloss_index_tokens, lookup_with_fallback, first_wins_dedupe, assign_uids, gloss_fallback, gloss_string, gloss_text, has_tag, glossed_lexemes, parse_byzantine,
-        format_byzantine, unpack_parsing, pack_parsing, parse_cntr, parse_morphgnt, parse_ccat, parse_reference, concordance, modules, books, articles, parts_of_speech, farmhash64,
+        postings_stored, postings_by_uid, posting_fanout, gloss_index_tokens, lookup_with_fallback, first_wins_dedupe, assign_uids, gloss_fallback, gloss_string, gloss_text, has_tag, glossed_lexemes, parse_byzantine,
+        format_byzantine, unpack_parsing, pack_parsing, parse_cntr, parse_morphgnt, parse_ccat, parse_reference, concordance, modules, books, articles, parts_of_speech, farmhash64, farmhash_vectors, add_gloss,
         primary_form, panel_cells, panel_tables,
     )
 }

@@ -98,13 +98,28 @@ def _bits(name: str, column: str = "packed") -> str:
 
 
 def _positional(notation: str) -> str:
+    """Tags written in a notation with what they have to be read as; wrong ones with their error."""
+    names, gap, order, end = {
+        "cntr": ("2:V 3:N 4:A 10:E 5:D 6:C 8:P 11:I 1:X", "       ", "mood tense voice person case gender number", ""),
+        "morphgnt": ("2:V- 3:N- 4:A- 10:RA 15:RR 16:RD 5:D- 6:C- 8:P- 11:I- 1:X-", " ", "person tense voice mood case number gender", "-"),
+        "ccat": ("2:VX 3:N_ 4:A_ 10:RA 15:RR 16:RD 5:D 6:C 8:P 11:I 1:X", "  ", "", ""),
+    }[notation]
+    table = {int(k): v.replace("_", " ") for k, v in (x.split(":") for x in names.split())}
     pick = lambda letters, n: f"'{letters}'[{_bits(n)} + 1]"
     parts = {"mood": pick(".ISOMNP", "mood"), "tense": pick(".PFAIEL", "tense"), "voice": pick(".AMP", "voice"), "person": pick(".123", "person"), "case": pick(".NAGDV", "case"), "gender": pick(".MF.N", "gender"), "number": pick(".S.P", "number")}
-    head, order = {"cntr": ("V       ", "mood tense voice person case gender number"), "morphgnt": ("V- ", "person tense voice mood case number gender"), "ccat": ("VX  ", "tense voice mood")}[notation]
-    ending = {"cntr": "''", "morphgnt": "'-'", "ccat": f"case {_bits('mood')} when 6 then {parts['case']} || {parts['number']} || {parts['gender']} when 5 then '' else {pick(' 123', 'person')} || {pick(' S P', 'number')} end"}[notation]
-    text = " || ".join([f"'{head}'", *(parts[n] for n in order.split()), ending])
-    return f"""select distinct packed, {text} as text, packed as "read" from parsing_tags
-where {_bits("pos")} = 2 and {_bits("tense")} <= 6 and {_bits("voice")} <= 3 and {_bits("number")} <> 2 and {_bits("crasis")} = 0"""
+    nominal = f"{parts['case']} || {parts['number']} || {parts['gender']}"
+    written = " || ".join(parts[n] for n in order.split())
+    if notation == "ccat":
+        finite = f"{pick(' 123', 'person')} || {pick(' S P', 'number')}"
+        written = f"""case when {_bits('pos')} = 2 then {parts['tense']} || {parts['voice']} || {parts['mood']} || case {_bits('mood')} when 6 then {nominal} when 5 then '' else {finite} end
+    when {_bits('case')} > 0 then {nominal} else '' end"""
+    flags = " and ".join(f"{_bits(n)} = 0" for n in ("crasis", "interrogative", "negative", "correlative", "indefinite", "indeclinable"))
+    return f"""with tag as (
+  select packed, {_map(_bits("pos"), table)} || '{gap}' as head, {written} as body, {_bits("pos")} as pos, {_bits("case")} as "case" from parsing_tags
+  where {flags} and {_bits("number")} <> 2 and {_bits("pos")} in ({", ".join(map(str, table))}) and {_bits("tense")} <= 6 and {_bits("voice")} <= 3 and ({_bits("pos")} = 2 or {_bits("gender")} in (0, 1, 2, 4)))
+select distinct head || body || '{end}' as text, packed as "read", null::varchar as error from tag
+union select 'Q' || head || body || '{end}', null, 'UnknownPartOfSpeech' from tag
+union select head || translate(body, 'NAGDV', 'ZZZZZ') || '{end}', null, 'UnknownCase' from tag where "case" > 0 and pos <> 2"""
 
 
 _REF = "ref.module || '#' || ref.book || ' ' || ref.chapter || ':' || ref.verse || case when ref.word > 0 then ' ' || ref.word else '' end"
@@ -218,6 +233,11 @@ from (select lang, unnest({_SPLIT.format("text")}) as token from documents) wher
     "betacode_words": _BETACODE + "select t as token, case when error is null then greek end as greek, error from read",
     "text_export": f"with {_LEXICON}, {_LINES} select line from lines",
     "postings_top60": f"with {_LEXICON}, {_FORM_SOURCE}, {_keyed('src', _FORM_COLS)} {_POSTINGS}",
+    "postings_stored": f"with {_LEXICON}, {_FORM_SOURCE}, {_keyed('src', _FORM_COLS)} {_POSTINGS}",
+    "postings_by_uid": f"""with {_LEXICON}, {_FORM_SOURCE}, {_keyed("src", _FORM_COLS)},
+best as (select * from (select *, {_FORM_RANK} as rank from posting) where rank <= 60),
+owner as (select coalesce(uid, 0) as uid, max((lexeme_no, form_no)) as f from form group by 1)
+select keyword, tier, rank, o.f[1] as lexeme_no, o.f[2] as form_no from best b join owner o on coalesce(b.uid, 0) = o.uid""",
     "postings_lexeme_top60": f"""with {_LEXICON}, src as (select word, lexeme_no, {_SORT} as sort_key, word as lexeme_word, coalesce(len(glosses), 0) as n_glosses from lex),
 {_keyed("src", "lexeme_no, sort_key, lexeme_word, n_glosses")}
 select keyword, tier, rank, lexeme_no from (
@@ -259,6 +279,13 @@ left join (select packed, min(tag) as tag from parsing_tags group by packed) t o
     "books": "select * from (values " + ", ".join(f"({i}, {_quoted(n)}, {_quoted(s)})" for i, (n, s) in enumerate(b.strip().split("/") for b in V.BOOKS.split(", "))) + ") t(code, english, english_short)",
     "articles": f"select {_map('article', {int(k): v for k, v in (g.split(":") for g in V.GENDERS.split(", "))})} as gender, count(*) as n from lexemes group by 1",
     "parts_of_speech": f"select {_map(_bits('pos', 'pos'), dict(enumerate(label.strip() for label in V.LABELS.split(","))))} as label, count(*) as n from lexemes group by 1",
+    # Published values of the fingerprint, of texts of 0 to 4, 5, 8, 11, 32 and 256 bytes.
+    "farmhash_vectors": """select * from (values ('test', 8581389452482819506), ('3true', -4880158226897771312), ('1footrue', -1541654101129638711), ('2applefalse', 2794438866806483259),
+  (repeat('test', 8), -4196240717365766262), (repeat('test', 64), 3500507768004279527)) t(text, hash)""",
+    "add_gloss": """select lexeme_no, case when coalesce(len(list_filter(glosses, lambda g: g.lang = 'en')), 0) = 0
+    then array_to_string(list_transform(coalesce(glosses, []), lambda g: g.lang || ':' || array_to_string(g.entries, ':')) || ['en:' || coalesce(word, '')], '#')
+    else array_to_string(list_transform(range(1, len(glosses) + 1), lambda i: glosses[i].lang || ':' || array_to_string(glosses[i].entries, ':') ||
+      case when i = list_position(list_transform(glosses, lambda g: g.lang), 'en') then ':' || coalesce(word, '') else '' end), '#') end as text from lexemes""",
     "primary_form": f"""with {_LEXICON}, wanted(pos, priority, parsing) as (values {_WANTED}),
 hit as (
   select f.lexeme_no, f.form_no, f.parsing, f.pref, f.n_glosses > 0 as glossed, f.n_refs, w.priority

@@ -57,10 +57,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
 def durable_table(df: DataFrame) -> DataFrame:
     """As durable, as a Parquet table: for wide rows that are read again in part, column by column."""
     spark = df.sparkSession
-    path = f"{_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = table_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

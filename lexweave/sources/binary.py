@@ -10,10 +10,14 @@ import os
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import references as R
 from ..operators import index
@@ -138,6 +142,9 @@ def write_binary(lexicon: Lexicon, path: str, only_glossed: bool = False) -> Non
     total, forms = lexemes.count(), lexicon.forms
     if max(total, forms.count()) >= 1 << 24:
         raise ValueError("too many records for this format; write Parquet tables")
+    widest = forms.groupBy("lexeme_no").count().agg(F.max("count")).first()[0] or 0
+    if widest >= 1 << 16:
+        raise ValueError(f"a lexeme has {widest} forms, too many for this format; write Parquet tables")
     own = forms.select("lexeme_no", F.struct("form_no", "uid", "word", "parsing", "preferred", "incorrect", "glosses", "refs").alias("form"))
     rows = lexemes.select("lexeme_no", F.struct("uid", "word", "lang", "pos", "article", "glosses", "tags", "strongs").alias("lexeme"), F.lit(None).cast(own.schema["form"].dataType).alias("form"))
     rows = rows.unionByName(own.join(lexemes.select("lexeme_no"), "lexeme_no", "left_semi"), allowMissingColumns=True).orderBy("lexeme_no", F.col("form.form_no").asc_nulls_first())
@@ -176,7 +183,9 @@ def _write_index(f, ranked: DataFrame) -> None:
         f.write(index_bytes(row.keyword, [[x.uid or 0 for x in row[f"t{t}"]] for t in (1, 2, 3)]))
 
 
-POSTING = "index string, keyword string, tier int, rank int, uid int"
+POSTING = T.StructType([T.StructField(n, T.StringType() if n in ("index", "keyword") else T.IntegerType()) for n in ("index", "keyword", "tier", "rank", "uid")])
+TABLES = {"lexemes": LEXEME, "forms": FORM, "postings": POSTING}
+KINDS = {"lexemes": "lexeme", "forms": "form", "postings": "posting"}
 
 
 class BinaryLexicon(DataSource):
@@ -187,7 +196,7 @@ class BinaryLexicon(DataSource):
         return "lexweave-binary"
 
     def schema(self):
-        return {"lexemes": LEXEME, "forms": FORM, "postings": POSTING}[self.options.get("table", "lexemes")]
+        return TABLES[self.options.get("table", "lexemes")]
 
     def reader(self, schema):
         return _Reader(self.options, schema)
@@ -202,7 +211,7 @@ class _Reader(DataSourceReader):
     """A task for each file; the records of a file only follow from each other."""
 
     def __init__(self, options, schema):
-        self.kind = {"lexemes": "lexeme", "forms": "form", "postings": "posting"}[options.get("table", "lexemes")]
+        self.kind = KINDS[options.get("table", "lexemes")]
         self.path, self.names = options["path"], [f.name for f in schema.fields]
 
     def partitions(self):
@@ -224,7 +233,24 @@ def _tuples(value):
     return [_tuples(v) for v in value] if isinstance(value, list) else value
 
 
+def _parse(table: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(TABLES[table])
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                rows = (row for kind, row in read_records(content) if kind == KINDS[table])
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in part], schema)
+
+    return run
+
+
 def read_binary(spark: SparkSession, path: str, table: str = "lexemes") -> DataFrame:
+    """Records of a binary file: a local one by the data source, any other through Spark's file system."""
+    if "://" in path and not path.startswith("file://"):
+        files = spark.read.format("binaryFile").load(path).select("content")
+        return files.mapInArrow(_parse(table, TABLES[table].fieldNames()), TABLES[table])
+    path = path.removeprefix("file://")
     spark.dataSource.register(BinaryLexicon)
     return spark.read.format("lexweave-binary").option("table", table).load(path)
 

@@ -82,3 +82,59 @@ def test_custom_items_and_hot_prefix(spark):
     top = index.ranked(index.postings(items, spec), spec, 3)
     assert [r.thing for r in top.filter("keyword = 'ab'").orderBy("rank").collect()] == [2999, 2998, 2997]
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_indexes_are_used(spark, tmp_path):
+    """Posting lists come from the file, by uid or by form, and equal those made anew."""
+    (tmp_path / "a.txt").write_text(LINES)
+    lexicon = sources.load_lexicon(spark, str(tmp_path / "a.txt")).written()
+    binary.write_binary(lexicon, str(tmp_path / "a.bin"))
+    tables.write_tables(lexicon, str(tmp_path / "t"))
+    cols = ["keyword", "tier", "rank", "uid"]
+    for path in ("a.bin", "t"):
+        again = sources.load_lexicon(spark, str(tmp_path / path))
+        assert "by_form" in again.__dict__ and "by_form" not in sources.load_lexicon(spark, str(tmp_path / path), stored_indexes=False).__dict__
+        for name, spec in (("by_form", index.FORM_SPEC), ("by_gloss", index.GLOSS_SPEC)):
+            got, want = (sorted(map(tuple, index.ranked(getattr(x, name), spec).select(*cols).collect())) for x in (again, lexicon))
+            assert got == want and len(got) > 5
+    stored = binary.read_binary(spark, str(tmp_path / "a.bin"), "postings")
+    some = lexicon.forms.filter("uid != 7")
+    assert tables.lost_uids(stored, some).first().lost == stored.filter("uid = 7").count() > 0
+    assert tables.by_uid(stored, some).count() == stored.filter("uid != 7").count()
+    other = binary._parse("forms", binary.FORM.fieldNames())  # as on another file system
+    content = spark.read.format("binaryFile").load(str(tmp_path / "a.bin")).select("content")
+    assert sorted(r.word for r in content.mapInArrow(other, binary.FORM).collect()) == sorted(r.word for r in lexicon.forms.collect())
+
+
+def test_of_forms_with_one_uid_the_last_counts(spark):
+    forms = spark.createDataFrame([(1, 1, 5), (2, 1, 5), (2, 3, None), (1, 2, 0)], "lexeme_no long, form_no int, uid int")
+    assert {tuple(r) for r in tables.by_form_uid(forms).collect()} == {(5, 2, 1), (0, 2, 3)}
+
+
+def test_too_many_forms_of_a_lexeme_for_the_binary_file(spark, tmp_path):
+    import pytest
+
+    from lexweave.operators.lexicon import Lexicon
+    from lexweave.schemas import FORM, LEXEME
+
+    lexemes = spark.createDataFrame([(1, 1, "a", "el") + (None,) * 9], LEXEME)
+    forms = spark.range(1 << 16).select(*[{"lexeme_no": F.lit(1), "form_no": F.col("id"), "word": F.lit("a")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FORM.fields])
+    with pytest.raises(ValueError, match="65536 forms"):
+        binary.write_binary(Lexicon(lexemes, forms), str(tmp_path / "a.bin"))
+
+
+def test_books_are_read_under_their_names_only(spark):
+    from lexweave.functions import references as R
+
+    names = {"song": "SongOfSolomon", "1 samuel-k": "1Sam-K", "2samk": "2Sam-K", "1 jn": "1 John", "pss": "Psalms", "1 jo": None, "1 es": None, "1 th": None}
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", R.book_name(R.book_code(F.upper("n"))).alias("b")).collect()
+    assert {r.n: None if r.b == "Unknown" else r.b for r in got} == names
+
+
+def test_add_gloss(spark):
+    from lexweave.functions import glosses as G
+
+    df = spark.createDataFrame([(1, [("en", ["a"]), ("es", None), ("en", ["b"])]), (2, None), (3, [("es", None)])], "i int, g array<struct<lang:string,entries:array<string>>>")
+    got = {r.i: [(g.lang, g.entries) for g in r.x] for r in df.select("i", G.add_gloss("g", "en", F.lit("x")).alias("x")).collect()}
+    assert got == {1: [("en", ["a", "x"]), ("es", None), ("en", ["b"])], 2: [("en", ["x"])], 3: [("es", None), ("en", ["x"])]}
+    assert {r.i: r.x[0].entries for r in df.select("i", G.add_gloss("g", "es", F.lit("y")).alias("x")).collect()}[3] == ["y"]
