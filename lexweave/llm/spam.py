@@ -143,7 +143,7 @@ def _kind(term: str) -> str:
     return LINK if is_link(term) else TAG if term[0] == "#" else NUMBER if term[0].isnumeric() else term
 
 
-_TERMS = "row long, doc_id long, lang string, terms array<string>, words string, links int, freqs array<int>, terms_of array<int>"
+_TERMS = "row long, doc_id long, lang string, terms string, words string, links int, freqs array<int>, terms_of array<int>"
 
 
 def _lists(of: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
@@ -152,7 +152,7 @@ def _lists(of: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per post: its terms, its different words as one text, links, and how many terms occur with each frequency."""
+    """Per post: its terms and its different words, each as one text, links, and how many terms occur with each frequency."""
     for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         cut = [cut_terms(t) for t in batch.column("text").to_pylist()]
         sizes = np.array([len(c) for c in cut], np.int64)
@@ -176,7 +176,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum, k = np.unique(post * most + (most - 1 - f), return_counts=True)  # highest frequency first
         of = spectrum // most
         made = [
-            _lists(np.repeat(np.arange(n), sizes), flat, n), words, pa.array(links),
+            pa.array([" ".join(c) for c in cut if c], pa.string()), words, pa.array(links),
             _lists(of, pa.array((most - 1 - spectrum % most).astype(np.int32)), n), _lists(of, pa.array(k.astype(np.int32)), n),
         ]
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("row", "doc_id", "lang")), *made], [c.split(" ")[0] for c in _TERMS.split(", ")])
@@ -229,7 +229,7 @@ def _score(shared):
             logs.append(np.append(np.log(np.maximum(others, COMMON / 2)), FLOOR))
         words = [pa.array(w, pa.string()) for w, _, _ in models.values()]
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            lists = batch.column("terms")
+            lists = pc.split_pattern(batch.column("terms"), " ")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = pc.dictionary_encode(pc.list_flatten(lists))
             codes = flat.indices.to_numpy(zero_copy_only=False)
