@@ -8,11 +8,12 @@ a source of its own:
 2. Texts with characters outside their language's alphabet are suspects; of a wide script, which may hold garbled text
    too, also texts that hide UTF-8 (a check of the row alone; what hides it isn't counted in 1). Under each listed swap a
    suspect falls into units, and the starting key of the swap, from the public code pages, tells whether it may be at work.
-3. Unit bigrams of each source are counted over all its suspects, and expectation-maximisation fits P(unit | letter)
-   against the language's letter bigrams: from the starting key, which keeps the units that it has a letter for, or, for
-   the suspects of a language that no listed swap explains, from frequency ranks and from the keys of all other pages of a
-   byte a letter. Such an unknown source is learned as often as texts are left that yield one (at most PEELS times), so
-   that several unknown swaps of a language come out one by one.
+3. Unit bigrams of each source are counted over all its suspects. The starting key of a listed swap keeps the units that it
+   has a letter for; expectation-maximisation, which fits P(unit | letter) against the language's letter bigrams, gives
+   letters to the others, and is only run where there are any (on the test tables there are none). The suspects of a
+   language that no listed swap explains are an unknown source: there EM gives all letters, from frequency ranks, and the
+   keys of all other pages of a byte a letter are held against its result. That is repeated while texts are left that yield
+   a key (at most PEELS times), so that several unknown swaps of a language come out one by one.
 4. Each suspect is translated with the learned keys only, twice if need be (text garbled twice), wholly or only where it
    is garbled, and is taken as garbled if the translation is so much likelier as text of its language. A unit that didn't
    occur while a key was learned has the letter of the starting key, as EM leaves it without evidence.
