@@ -443,9 +443,13 @@ def _first_look(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
+        # UTF-8 read in any other page of a byte a letter, for texts that the listed swaps don't explain, or not wholly.
+        others = Reader(shared.value, {(lang, "utf-8", w): {} for lang in shared.value for w in all_pages() if not any(tuple(page(w)[1]) == tuple(page(x)[1]) for x in WRONG)})
 
         def source(text: str, lang: str | None, home: str | None) -> list[str] | None:
             found = reader.judge(text, _langs(lang))
+            if found is None or found[0] < MARGIN or not reader.languages[found[1]].knows(found[2]):
+                found = max((x for x in (found, others.judge(text, _langs(lang))) if x is not None), key=lambda x: x[0], default=None)
             if found is not None and found[0] >= MARGIN:
                 return [found[1], *(p for swap in found[3] for p in (swap.right, swap.wrong))]
             model = reader.languages.get(home or "")
