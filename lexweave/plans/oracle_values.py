@@ -1,5 +1,5 @@
-"""Values that the comparison SQL spells out for itself: pinned literals, which nothing computes, so that a change or error
-in the library's tables and rules shows as a difference."""
+"""Values that the comparison SQL spells out for itself: literals, a snapshot of the library's tables, so that a later change
+in those tables and rules shows as a difference. An error that was there when they were taken doesn't."""
 
 # Letters and what they become, in the order of the first.
 UNACCENT = (
