@@ -1,6 +1,7 @@
 """Garbled text against text that we garble ourselves, and look-alikes against text that we disguise."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import encoding as E
 from lexweave.llm import lookalikes as K
+from lexweave.llm import queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -238,6 +240,38 @@ def test_letters_of_any_script_that_look_the_same(spark):
     assert all(K.consistent(c, lang, table) == c for lang, own in K.plain_letters().items() for c in own)
 
 
+class NoIcu:
+    """A JVM in which ICU's classes are unknown, as py4j shows it."""
+
+    def __init__(self, jvm):
+        self._real, self.com = jvm, jvm.no_such_package
+
+    def __getattr__(self, name):
+        return getattr(self._real, name)
+
+
+@pytest.mark.parametrize("name", ["p5_found", "p5_forms", "p5_groups"])
+def test_without_icu_there_is_no_result(spark, name, monkeypatch):
+    K._table.cache_clear()
+    with monkeypatch.context() as m:
+        m.setattr(spark, "_jvm", NoIcu(spark._jvm))
+        with pytest.raises(RuntimeError, match="icu4j"):
+            queries.QUERIES[name](spark, SF)
+    assert len(K.lookalikes(spark)["he"]) > 50  # nothing of the failure is kept
+
+
+def test_every_letter_has_its_skeleton(spark, monkeypatch):
+    """Skeletons that don't match the letters one to one are an error, not a shorter table."""
+    icu = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")
+    cut = SimpleNamespace(build=lambda: SimpleNamespace(getSkeleton=lambda text: icu().build().getSkeleton(text)[:100]))
+    jvm = SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=SimpleNamespace(**{"SpoofChecker$Builder": lambda: cut})))))
+    with monkeypatch.context() as m:
+        m.setattr(spark, "_jvm", jvm)
+        with pytest.raises(ValueError):
+            K._skeletons(spark)
+    assert K._skeletons(spark)["ɡ"] == K._skeletons(spark)["g"]
+
+
 def test_form_is_stable_and_groups(spark):
     for lang, text, form, _ in CASES:
         assert form is None or K.consistent(form, lang) == form
